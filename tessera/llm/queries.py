@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, packing, sharding, url_filter, warc
+from tessera.llm import ann, ngram_join, packing, sharding, substring, url_filter, warc
 from tessera.llm._shared import new_path
 
 
@@ -27,6 +27,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,7 +50,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_sharding, op5_packing, op8_ann, op9_url_filter)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring, op3_sharding, op5_packing, op8_ann, op9_url_filter, op10_ngram_join)}
 
 _TERM = "regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){}($|[^a-z0-9])')"
 _STRICT = " OR ".join(_TERM.format(t) for t in url_filter.STRICT)
@@ -64,6 +73,26 @@ ORACLES = {
                CASE WHEN n < 100 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN n < 100 OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
         FROM f""",
+    "op2_substring": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        g AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN array_to_string(ws[i:i + 34], ' ') END AS win FROM p),
+        r AS (SELECT win FROM g WHERE win IS NOT NULL GROUP BY win HAVING count(*) > 1),
+        m AS (SELECT g.doc_id, g.i, g.word, CASE WHEN r.win IS NULL THEN 0 ELSE 1 END AS hit FROM g LEFT JOIN r ON g.win = r.win),
+        c AS (SELECT doc_id, i, word, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+        k AS (SELECT doc_id, sum(gone) AS n, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept FROM c GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    "op10_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                     ELSE list_distinct([array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)]) END AS ts FROM w),
+        n AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n_shingles FROM s),
+        t AS (SELECT doc_id, unnest(ts) AS x FROM s),
+        b AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT p, q FROM b JOIN n x ON x.doc_id = p JOIN n y ON y.doc_id = q WHERE 100 * k >= 90 * (x.n_shingles + y.n_shingles - k)),
+        r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT l.q, r.c FROM r JOIN l ON l.p = r.doc_id)
+        SELECT n.doc_id, n_shingles, component_id FROM n JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = n.doc_id""",
     "op9_url_filter": f"""
         WITH u AS (SELECT page_id, url, coalesce(regexp_extract(url, '^[^:]*(?::[^:]*?)*?://([^/?#]*)([^?#]*)', 1), '') AS h,
                           coalesce(regexp_extract(url, '^[^:]*(?::[^:]*?)*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
