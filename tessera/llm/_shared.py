@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,6 +43,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shipped(spark: SparkSession, value):
+    """Broadcast a value together with the code of its class; ``unpacked`` gives it back on an executor."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unpacked(sent):
+    return cloudpickle.loads(sent.value)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows of an Arrow batch (texts may be long), unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, ngram_join, packing, sharding, substring, url_filter, warc
+from tessera.llm import ann, ngram_join, packing, quality, sharding, substring, toxicity, url_filter, warc
 from tessera.llm._shared import new_path
 
 
@@ -41,6 +41,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _fold(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def _judged(got: DataFrame, held_out) -> DataFrame:
+    return got.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(quality.score(docs, table(spark, sf_dir, "labels"), _fold(3) != 1), _fold(3) == 1)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(toxicity.score(docs, table(spark, sf_dir, "labels"), _fold(5) != 0), _fold(5) == 0)
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -54,7 +72,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring, op3_sharding, op5_packing, op8_ann, op9_url_filter, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring, op3_sharding, op5_packing, op6_quality, op7_toxicity, op8_ann, op9_url_filter, op10_ngram_join)}
 
 _TERM = "regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){}($|[^a-z0-9])')"
 _STRICT = " OR ".join(_TERM.format(t) for t in url_filter.STRICT)
