@@ -13,6 +13,9 @@ doc_ids are packed as rows of their own. Columns beside id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -70,13 +73,50 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
-def _tokenizer(path: str):
-    import os
+class Encoder:
+    """Ids as the tokenizer file gives them.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    Byte-level BPE over characters of the Latin blocks goes through tiktoken, which reads the same merges several times as
+    fast; all other texts, and files whose ids are not in merge order, go through tokenizers.
+    """
 
-    return Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.slow = Tokenizer.from_file(path)
+        self.fast = _merges_as_ranks(path)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast and not _BEYOND_LATIN.search(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+_BEYOND_LATIN = re.compile("[^\t\n\r -~\u00a1-\u024f]")
+
+
+def _merges_as_ranks(path: str):
+    """A tiktoken encoding of a byte-level BPE file whose ids are the bytes and then the merges in order; else None."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    shape = spec.get("pre_tokenizer") or {}
+    plain = shape.get("type") == "ByteLevel" and not shape.get("add_prefix_space") and shape.get("use_regex") and not spec.get("normalizer")
+    if model.get("type") != "BPE" or not plain:
+        return None
+    # Byte-level vocabularies write printable bytes as themselves and the others as characters from U+0100 on, in order.
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in token): n for token, n in model["vocab"].items() if token not in special}
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if [model["vocab"].get(m) for m in made] != list(range(256, 256 + len(made))):
+        return None
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def _packed(items: list[tuple[int, bytes]], capacity: int, slack: int, base: int) -> pd.DataFrame:
@@ -97,7 +137,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "t
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tok = _tokenizer(tokenizer_path)
+        encode = Encoder(tokenizer_path)
         base = TaskContext.get().partitionId() << 32
         made, items, row = 0, [], base
 
@@ -109,17 +149,14 @@ def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "t
 
         for b in batches:
             full: list[tuple[int, bytes]] = []
-            texts = [t or "" for t in b["text"]]
-            for lo in range(0, len(texts), 64):
-                encoded = tok.encode_batch_fast(texts[lo : lo + 64], add_special_tokens=False)
-                for doc, e in zip(b["doc_id"].iloc[lo : lo + 64], encoded, strict=True):
-                    ids = np.array([*e.ids, end], dtype="<u4")
-                    has = not pd.isna(doc)
-                    for n, (start, length) in enumerate(cut(len(ids), capacity)):
-                        crc = zlib.crc32(ids[start : start + length].tobytes())
-                        piece = np.array([(row, int(doc) if has else 0, has, n, start, length, crc)], dtype=_PIECE).tobytes()
-                        (full if capacity - length <= slack else items).append((length, piece))
-                    row += 1
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                ids = np.append(encode(text or ""), end).astype("<u4")
+                has = not pd.isna(doc)
+                for n, (start, length) in enumerate(cut(len(ids), capacity)):
+                    crc = zlib.crc32(ids[start : start + length].tobytes())
+                    piece = np.array([(row, int(doc) if has else 0, has, n, start, length, crc)], dtype=_PIECE).tobytes()
+                    (full if capacity - length <= slack else items).append((length, piece))
+                row += 1
             if full:
                 yield emit(full)
             if len(items) >= 50_000:  # bounded: what is left of these goes through the later rounds
