@@ -3,11 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tessera.llm import decontamination, ngram_join, packing, substring, toxicity
+from tessera.llm._shared import written
+from tessera.llm.queries import table, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject."""
+    got = toxicity.score(docs, table(spark, sf_dir, "labels"), F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return got.where("predicted = 0").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by shingle similarity, directly or through others, the one with the smallest id.
+
+    Documents without an id stay unless their group has one with an id; rows that repeat an id are one document.
+    """
+    groups = ngram_join.groups(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return out.unionByName(docs.where("doc_id is null"))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur elsewhere too; texts that hold none stay as they are."""
+    got = substring.deduplicate(docs)
+    changed = F.col("n_removed") > 0
+    got = got.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    return got.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.find(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of what is left."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("n-gram Jaccard join", one_of_each_group), ("substring dedup", drop_repeats), ("decontamination", drop_leaks), ("best-fit packing", pack)]
+
+#: A trained network, a tokenizer and edit distances are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents, each result written as Parquet and read again."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, ngram_join, packing, quality, sharding, substring, toxicity, url_filter, warc
+from tessera.llm import ann, decontamination, ngram_join, packing, quality, sharding, substring, toxicity, url_filter, warc
 from tessera.llm._shared import new_path
 
 
@@ -37,6 +37,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item that a document holds."""
+    got = decontamination.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -72,7 +78,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_substring, op3_sharding, op5_packing, op6_quality, op7_toxicity, op8_ann, op9_url_filter, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_substring, op3_sharding, op4_decontamination, op5_packing, op6_quality, op7_toxicity, op8_ann, op9_url_filter, op10_ngram_join)}
 
 _TERM = "regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){}($|[^a-z0-9])')"
 _STRICT = " OR ".join(_TERM.format(t) for t in url_filter.STRICT)
