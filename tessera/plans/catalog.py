@@ -1,4 +1,4 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import graphs, grids, retention, series, shapes, sketching  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES  # noqa: F401
