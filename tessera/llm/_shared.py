@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark import cloudpickle
@@ -34,7 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -52,7 +62,7 @@ def unpacked(sent):
     return cloudpickle.loads(sent.value)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch (texts may be long), unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -64,25 +74,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, kept for the words met so far and emptied at ``most`` entries."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
-
-
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
@@ -94,3 +85,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _S)
     x = x * _M2
     return x ^ (x >> _S)
+
+
+_tables: dict[int, np.ndarray] = {}
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of the odd base (first row) and of its inverse modulo 2^64."""
+    if base not in _tables or _tables[base].shape[1] < n:
+        steps = np.ones((2, max(n, 1 << 16)), dtype=np.uint64)
+        steps[0, 1:], steps[1, 1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        _tables[base] = np.multiply.accumulate(steps, axis=1)
+    return _tables[base][:, :n]
+
+
+def range_hash(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of x[lo:hi] (uint64) for each pair of bounds, by prefix sums of a polynomial."""
+    up, down = _powers(base, len(x) + 1)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * up[:-1], out=total[1:])
+    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+
+
+class Words(NamedTuple):
+    """Words of some texts laid end to end: their bytes, their bounds in them, their hashes, and how many each text has."""
+
+    raw: bytes
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    sizes: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        """Where the words of each text begin."""
+        return np.cumsum(self.sizes) - self.sizes
+
+
+def hashed_words(texts: Iterable[str | None], lower: bool = False, most: int = 1 << 20) -> Iterator[tuple[int, Words]]:
+    """Runs of texts of some ``most`` bytes: the index of the first text, and the words. ``lower`` lower-cases A-Z."""
+    first, held, size = 0, [], 0
+    for n, t in enumerate(texts):
+        b = t.encode("utf-8", "surrogatepass") if t else b""
+        if held and size + len(b) > most:
+            yield first, _hashed(held, lower)
+            first, held, size = n, [], 0
+        held.append(b)
+        size += len(b) + 1
+    if held:
+        yield first, _hashed(held, lower)
+
+
+def _hashed(texts: list[bytes], lower: bool) -> Words:
+    raw = b" ".join(texts)
+    if lower:
+        raw = raw.lower()  # bytes: A-Z only
+    b = np.frombuffer(raw, np.uint8)
+    gap = np.ones(len(b) + 2, dtype=bool)
+    gap[1:-1] = _SPACE[b]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edges[::2], edges[1::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return Words(raw, start, end, range_hash(_LETTER[b], start, end), np.diff(np.searchsorted(start, ends), prepend=0))

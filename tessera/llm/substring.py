@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import WordHashes, mix, release, small_batches, words, written
+from tessera.llm._shared import BASE, OTHER, discard, hashed_words, mix, range_hash, release, small_batches, words, written
 from tessera.llm.suffix import SuffixAutomaton
 
 LENGTH, GRAM = 35, 12
@@ -35,30 +35,10 @@ LENGTH, GRAM = 35, 12
 CROWD, SHARD_WORDS = 1024, 20_000
 
 _BITS = np.uint64(26)  # of a word's position in a chunk of texts
-_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, modulo 2^64."""
-    if base not in _tables or len(_tables[base][0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        steps = np.ones((2, size), dtype=np.uint64)
-        steps[0, 1:], steps[1, 1:] = np.uint64(base), np.uint64(inverse)
-        _tables[base] = tuple(np.multiply.accumulate(steps, axis=1))
-    return _tables[base][0][:n], _tables[base][1][:n]
-
-
-def range_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A hash of h[lo:hi] for each pair of bounds, by prefix sums of a polynomial."""
-    up, down = _powers(base, len(h) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
 def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return mix(x * np.uint64(_BASE) + y)
+    return mix(x * np.uint64(BASE) + y)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -99,21 +79,7 @@ def passages(h: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[
     own = owner[at]
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
     lo, hi = at[new], at[np.concatenate([new[1:], [len(at)]]) - 1]
-    return text[lo], lo, hi, mix(g[own[new]] ^ np.uint64(_OTHER)), range_hash(h, lo, hi + length)
-
-
-def chunks(texts: list, most: int = 1 << 21) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Runs of texts of some ``most`` words: the index of the first, and their words."""
-    first, held, count = 0, [], 0
-    for n, t in enumerate(texts):
-        ws = words(t)
-        if held and count + len(ws) > most:
-            yield first, held
-            first, held, count = n, [], 0
-        held.append(ws)
-        count += len(ws)
-    if held:
-        yield first, held
+    return text[lo], lo, hi, mix(g[own[new]] ^ np.uint64(OTHER)), range_hash(h, lo, hi + length)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -122,34 +88,28 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _find(length: int, gram: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
             d, th = b["_d"].to_numpy(np.int64), b["_th"].to_numpy(np.int64)
-            for first, ws in chunks(list(b["text"])):
-                sizes = np.array([len(w) for w in ws])
-                h = hashes.of([w for x in ws for w in x])
-                text, lo, _, anchor, content = passages(h, sizes, length, gram)
-                start = (np.cumsum(sizes) - sizes)[text]
-                yield pd.DataFrame({"a": _signed(anchor), "c": _signed(content), "_d": d[first + text], "_th": th[first + text], "lo": (lo - start).astype(np.int32)})
+            for first, w in hashed_words(b["text"]):
+                text, lo, _, anchor, content = passages(w.hash, w.sizes, length, gram)
+                yield pd.DataFrame({"a": _signed(anchor), "c": _signed(content), "_d": d[first + text], "_th": th[first + text], "lo": (lo - w.first[text]).astype(np.int32)})
 
     return find
 
 
 def _fetch(length: int, gram: int):
-    """The words of the passages whose first windows are listed, as one string each."""
+    """The bytes of the passages whose first windows are listed, each with the copies that it stands for."""
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
             asked = [dict(zip(x.tolist(), n.tolist(), strict=True)) for x, n in zip(b["at"], b["n"], strict=True)]
-            for first, ws in chunks(list(b["text"])):
-                sizes = np.array([len(w) for w in ws])
-                h = hashes.of([w for x in ws for w in x])
-                text, lo, hi, anchor, content = passages(h, sizes, length, gram)
-                at, to = lo - (np.cumsum(sizes) - sizes)[text], hi - (np.cumsum(sizes) - sizes)[text] + length
-                out = [(i, asked[first + t][s], b" ".join(ws[t][s:e])) for i, (t, s, e) in enumerate(zip(text.tolist(), at.tolist(), to.tolist(), strict=True)) if s in asked[first + t]]
-                keep = [x[0] for x in out]
-                yield pd.DataFrame({"a": _signed(anchor[keep]), "c": _signed(content[keep]), "n": [x[1] for x in out], "passage": [x[2] for x in out]})
+            for first, w in hashed_words(b["text"]):
+                text, lo, hi, anchor, content = passages(w.hash, w.sizes, length, gram)
+                at = (lo - w.first[text]).tolist()
+                n = np.array([asked[first + t].get(s, 0) for t, s in zip(text.tolist(), at, strict=True)], dtype=np.int64)
+                keep = np.flatnonzero(n)
+                begin, end = w.start[lo[keep]].tolist(), w.end[hi[keep] + length - 1].tolist()
+                yield pd.DataFrame({"a": _signed(anchor[keep]), "c": _signed(content[keep]), "n": n[keep], "passage": [w.raw[s:e] for s, e in zip(begin, end, strict=True)]})
 
     return fetch
 
@@ -187,12 +147,15 @@ def _windows(length: int):
     """Every window of a passage: two fingerprints, with the passage's copies."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
-            for a, c, n, p in zip(b["a"], b["c"], b["n"], b["passage"], strict=True):
-                h = hashes.of(bytes(p).split())
-                lo = np.arange(len(h) - length + 1)
-                yield pd.DataFrame({"w": _signed(range_hash(h, lo, lo + length)), "x": _signed(range_hash(h, lo, lo + length, _OTHER)), "a": a, "c": c, "n": n, "at": lo.astype(np.int32)})
+            rows = list(b[["a", "c", "n"]].itertuples(index=False))
+            for first, w in hashed_words([bytes(p).decode("utf-8", "surrogatepass") for p in b["passage"]]):
+                counts = w.sizes - length + 1
+                text = np.repeat(np.arange(len(counts)), counts)
+                at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+                lo = w.first[text] + at
+                a, c, n = (np.array([r[i] for r in rows[first : first + len(counts)]], dtype=np.int64)[text] for i in range(3))
+                yield pd.DataFrame({"w": _signed(range_hash(w.hash, lo, lo + length)), "x": _signed(range_hash(w.hash, lo, lo + length, OTHER)), "a": a, "c": c, "n": n, "at": at.astype(np.int32)})
 
     return explode
 
@@ -202,8 +165,10 @@ def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     spark = df.sparkSession
     small_batches(spark)
     found = written(df.select("_d", "_th", "text").mapInPandas(_find(length, gram), "a long, c long, _d long, _th long, lo int"), "passages")
-    again = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # Written apart: a join of two fresh exchanges is one whose hot keys Spark can split.
+    again = written(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors-repeated")
     met = written(found.join(again, "a"), "passages-met")
+    discard(found)
     distinct = written(met.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_th", "lo")).alias("at")), "passages-distinct")
     release(spark)
     asked = distinct.select("at._d", "at._th", F.struct("at.lo", "n").alias("one")).groupBy("_d", "_th").agg(F.collect_set("one").alias("asked"))
@@ -221,6 +186,7 @@ def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
         small = sent.join(crowded, "a", "left_anti")
         cells = sent.join(crowded, "a", "left_semi").mapInPandas(_windows(length), "w long, x long, a long, c long, n long, at int")
         twice = cells.groupBy("w", "x").agg(F.sum("n").alias("copies")).where("copies > 1").select("w", "x")
+        twice = written(twice, "windows-repeated")
         verdicts = cells.join(twice, ["w", "x"]).groupBy("a", "c").agg(F.collect_set("at").alias("windows"))
     by_shard = small.repartition("a").sortWithinPartitions("a", "c").mapInPandas(_match(length, shard_words), marks)
     verdicts = written(by_shard if verdicts is None else by_shard.unionByName(verdicts), "passages-marked")
@@ -252,7 +218,8 @@ def _keep(length: int):
 
 def deduplicate(df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``df`` with n_words, n_removed and kept."""
-    keyed = df.drop("n_words", "n_removed", "kept").withColumns({"_d": F.coalesce(F.col(id_).cast("long"), F.lit(0)), "_th": F.xxhash64(F.col(text))})
-    starts = repeated_windows(keyed.select("_d", "_th", F.col(text).alias("text")), length, gram, crowd, shard_words)
-    got = keyed.join(starts, ["_d", "_th"], "left").withColumn("_k", _keep(length)(F.col(text), F.col("starts")))
-    return got.withColumns({x: F.col(f"_k.{x}") for x in ("n_words", "n_removed", "kept")}).drop("_d", "_th", "_k", "starts")
+    d, th, at = "_tessera_d", "_tessera_th", "_tessera_starts"  # apart from columns that pass through
+    keyed = df.drop("n_words", "n_removed", "kept").withColumns({d: F.coalesce(F.col(id_).cast("long"), F.lit(0)), th: F.xxhash64(F.col(text))})
+    starts = repeated_windows(keyed.select(F.col(d).alias("_d"), F.col(th).alias("_th"), F.col(text).alias("text")), length, gram, crowd, shard_words)
+    got = keyed.join(starts.withColumnsRenamed({"_d": d, "_th": th, "starts": at}), [d, th], "left").withColumn("_tessera_kept", _keep(length)(F.col(text), F.col(at)))
+    return got.withColumns({x: F.col(f"_tessera_kept.{x}") for x in ("n_words", "n_removed", "kept")}).drop(d, th, at, "_tessera_kept")
