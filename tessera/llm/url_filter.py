@@ -5,7 +5,8 @@ A term counts only with boundaries: the characters beside it are not ASCII lette
 of it, and whose path begins the URL's path, decides before the vocabulary does.
 
 Nulls: a null or relative URL has empty host and path, meets no rule and no term, and is allowed. Each row is judged by
-itself, so repeated rows get equal verdicts and empty tables give no rows. Only the URL and its id are read.
+itself, so repeated rows get equal verdicts and empty tables give no rows. Other columns pass through; host,
+path, strict_hits, soft_hits, rule and verdict replace columns of those names.
 """
 
 from __future__ import annotations
@@ -75,12 +76,12 @@ def judge(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft=SOFT
     """``df`` with host, path, strict_hits, soft_hits, rule and verdict."""
     u = F.col(url)
     out = df.withColumn("host", host_of(u)).withColumn("path", path_of(u))
-    out = out.withColumn("_hits", term_hits(strict, soft)(u)).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    rejected = (F.col("_hits.strict") >= 1) | (F.col("_hits.soft") >= soft_needed)
+    out = out.withColumn("_tessera_hits", term_hits(strict, soft)(u)).withColumn("_tessera_rule", rule_of(F.col("host"), F.col("path"), rules))
+    rejected = (F.col("_tessera_hits.strict") >= 1) | (F.col("_tessera_hits.soft") >= soft_needed)
     return (
-        out.withColumn("strict_hits", F.col("_hits.strict"))
-        .withColumn("soft_hits", F.col("_hits.soft"))
-        .withColumn("rule", F.col("_rule.rule"))
-        .withColumn("verdict", F.coalesce(F.col("_rule.verdict"), F.when(rejected, "block").otherwise("allow")))
-        .drop("_hits", "_rule")
+        out.withColumn("strict_hits", F.col("_tessera_hits.strict"))
+        .withColumn("soft_hits", F.col("_tessera_hits.soft"))
+        .withColumn("rule", F.col("_tessera_rule.rule"))
+        .withColumn("verdict", F.coalesce(F.col("_tessera_rule.verdict"), F.when(rejected, "block").otherwise("allow")))
+        .drop("_tessera_hits", "_tessera_rule")
     )

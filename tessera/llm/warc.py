@@ -58,6 +58,7 @@ def write_archive(df: DataFrame, path: str, id_: str = "page_id", url: str = "ur
     marks = written(rows.select("id", "url", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"), F.monotonically_increasing_id().alias("row")), "warc-marks")
     first = marks.groupBy("digest").agg(F.min("id").alias("first_id"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("first_row"), F.min("size").alias("a"), F.max("size").alias("b"))
     first = first.withColumn("first_row", F.when(F.assert_true(F.col("a") == F.col("b"), "payloads of one digest differ in length").isNull(), F.col("first_row")))
+    first = written(first, "warc-first")  # apart, so that Spark can split the rows of a hot digest in the join
     kind = F.when((F.col("size") < least) | F.col("first_id").isNull() | F.col("id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit")
     refers = F.when(F.col("kind") == "revisit", F.col("first_id"))
     headers = marks.join(first.select("digest", "first_id"), "digest").withColumn("kind", kind).withColumn("refers_to", refers)
