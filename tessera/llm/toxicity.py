@@ -160,12 +160,12 @@ class Network:
         np.add.at(g["char"], code, np.repeat(by_word[:, WORD_DIM:] / sizes[:, None].astype(np.float32), sizes, axis=0))
         return g
 
-    def fit(self, windows: list[list[str]], y: np.ndarray, epochs: int, rate: float = 0.01, batch: int = 128, seed: int = 5) -> None:
+    def fit(self, windows: list[list[str]], y: np.ndarray, steps: int, rate: float = 0.01, batch: int = 128, seed: int = 5) -> None:
         """Adam over shuffled batches; a third of the words go without their own vector, so that characters are learned too."""
         rng = np.random.default_rng(seed)
-        m, s, step = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2)), None, 0
-        m, s = m
-        for _ in range(epochs):
+        m, s = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2))
+        step = 0
+        while step < steps:
             order = rng.permutation(len(windows))
             for lo in range(0, len(order), batch):
                 part = [windows[i] for i in order[lo : lo + batch]]
@@ -237,7 +237,7 @@ class Scorer:
             return 1 / (1 + np.exp(-(worst - self.net.shift)))
 
 
-def train(texts: list[list[str]], y: np.ndarray, rounds: int = 2, epochs: int = 4, seed: int = 3) -> Network:
+def train(texts: list[list[str]], y: np.ndarray, rounds: int = 2, steps: int = 500, seed: int = 3) -> Network:
     """Fit a network to labelled texts (as words), both labels present."""
     rng = np.random.default_rng(seed)
     df = [Counter(), Counter()]
@@ -260,7 +260,7 @@ def train(texts: list[list[str]], y: np.ndarray, rounds: int = 2, epochs: int =
             own = [w for w, s in zip(own, said, strict=True) if s < 0.5]
         for i in rng.permutation(len(own))[: 1 if label else 3]:
             windows.append(own[i]), labels.append(0)
-    net.fit(windows, np.array(labels, np.float32), epochs)
+    net.fit(windows, np.array(labels, np.float32), steps)
     for r in range(rounds):
         out, text, first = Scorer(net).windows(texts)
         top = {}
@@ -268,7 +268,7 @@ def train(texts: list[list[str]], y: np.ndarray, rounds: int = 2, epochs: int =
             if t not in top or o > top[t][0]:
                 top[t] = (o, f)
         more = [(texts[t][f : f + WINDOW], int(y[t])) for t, (_, f) in top.items()]
-        net.fit(windows + [w for w, _ in more], np.array(labels + [v for _, v in more], np.float32), 2, rate=0.004, seed=seed + r)
+        net.fit(windows + [w for w, _ in more], np.array(labels + [v for _, v in more], np.float32), steps // 3, rate=0.004, seed=seed + r)
     out, text, _ = Scorer(net).windows(texts)
     worst = np.full(len(texts), -20.0)
     np.maximum.at(worst, text, out)
