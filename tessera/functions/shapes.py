@@ -68,3 +68,14 @@ def in_frustum(x: Column, y: Column, z: Column, planes: list[tuple[float, float,
     if len(planes) != 6:
         raise ValueError("a frustum has six planes")
     return reduce(lambda p, q: p & q, [nx * x + ny * y + nz * z + d >= 0 for nx, ny, nz, d in planes])
+
+
+def box_distance2(values: list[Column], low: list[float], high: list[float]) -> Column:
+    """Squared distance of a point to a closed box, 0 inside; a sphere meets the box where it is at most r squared."""
+    outside = [F.greatest(F.lit(float(a)) - v, v - F.lit(float(b)), F.lit(0.0)) for v, a, b in zip(values, low, high, strict=True)]
+    return reduce(lambda s, t: s + t, [o * o for o in outside])
+
+
+def centre(r) -> tuple[Column, Column]:
+    a = _of(r)
+    return (a[0] + a[2]) / 2, (a[1] + a[3]) / 2

@@ -41,6 +41,11 @@ def remove_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame) -> t
     return vertices.join(gone, "id", "left_anti"), left.select(edges.columns)
 
 
+def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those listed. gone: src, dst."""
+    return edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti").select(edges.columns)
+
+
 def neighbours(edges: DataFrame, vertex: Column) -> DataFrame:
     """Out-edges of a vertex."""
     return edges.where(F.col("src") == vertex)

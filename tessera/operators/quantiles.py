@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +75,73 @@ def sessions(df: DataFrame, keys: list[str], ts: Column, gap: int, order: list[s
     by = Window.partitionBy(*keys).orderBy(ts, *order)
     new = F.coalesce((ts - F.lag(ts).over(by)) > gap, F.lit(True)).cast("int")
     return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def accuracy(df: DataFrame, keys: list[str], value: str, p: float, tolerance: float, sketch: int = 10_000) -> DataFrame:
+    """The sketch's quantile beside the nearest rank, their relative error, and whether it is within a tolerance."""
+    got = df.groupBy(*keys).agg(F.percentile_approx(value, p, sketch).alias("estimate"), nearest_rank(value, p).alias("exact"))
+    error = F.when(F.col("exact") == 0, F.abs(F.col("estimate"))).otherwise(F.abs((F.col("estimate") - F.col("exact")) / F.col("exact")))
+    return got.withColumn("error", error).withColumn("accurate", F.col("error") <= tolerance)
+
+
+def p_square(df: DataFrame, keys: list[str], value: str, order: list[str], p: float) -> DataFrame:
+    """The five-marker estimate of one quantile, in the order of arrival; below five values the nearest rank.
+
+    Markers move by the piecewise-parabolic rule of Jain and Chlamtac. The estimate depends on the order, so a key is folded
+    row by row while its rows stream through; only five markers are kept, so keys of any length work.
+    """
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fold(batches):
+        at, state = None, None
+        for b in batches:
+            for row in b.itertuples(index=False):
+                key = tuple(row[: len(keys)])
+                if key != at:
+                    if at is not None:
+                        yield pd.DataFrame([(*at, state.value())], columns=[*keys, "estimate"])
+                    at, state = key, Markers(p)
+                state.add(float(row[-1]))
+        if at is not None:
+            yield pd.DataFrame([(*at, state.value())], columns=[*keys, "estimate"])
+
+    rows = df.where(F.col(value).isNotNull()).select(*keys, *order, F.col(value).cast("double").alias("_v"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fold, f"{kinds}, estimate double")
+
+
+class Markers:
+    """Heights and positions of five markers for one quantile."""
+
+    def __init__(self, p: float):
+        self.p, self.first = p, []
+        self.height: list[float] = []
+        self.place = [1, 2, 3, 4, 5]
+        self.wanted = [1, 1 + 2 * p, 1 + 4 * p, 3 + 2 * p, 5]
+        self.step = [0, p / 2, p, (1 + p) / 2, 1]
+
+    def add(self, x: float) -> None:
+        if not self.height:
+            self.first.append(x)
+            if len(self.first) == 5:
+                self.height = sorted(self.first)
+            return
+        h, n = self.height, self.place
+        h[0], h[4] = min(h[0], x), max(h[4], x)
+        cell = next((i for i in range(3) if x < h[i + 1]), 3)
+        for i in range(cell + 1, 5):
+            n[i] += 1
+        self.wanted = [w + s for w, s in zip(self.wanted, self.step, strict=True)]
+        for i in (1, 2, 3):
+            off = self.wanted[i] - n[i]
+            d = 1 if off >= 1 and n[i + 1] - n[i] > 1 else -1 if off <= -1 and n[i - 1] - n[i] < -1 else 0
+            if d:
+                up, down = (h[i + 1] - h[i]) / (n[i + 1] - n[i]), (h[i] - h[i - 1]) / (n[i] - n[i - 1])
+                curve = h[i] + d / (n[i + 1] - n[i - 1]) * ((n[i] - n[i - 1] + d) * up + (n[i + 1] - n[i] - d) * down)
+                h[i] = curve if h[i - 1] < curve < h[i + 1] else h[i] + d * (h[i + d] - h[i]) / (n[i + d] - n[i])
+                n[i] += d
+
+    def value(self) -> float:
+        if self.height:
+            return self.height[2]
+        ranked = sorted(self.first)
+        return ranked[max(0, -int(-self.p * len(ranked) // 1) - 1)]

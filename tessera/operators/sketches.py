@@ -82,6 +82,15 @@ def cms_estimate(items: DataFrame, item: Column, sketch: DataFrame, width: int,
     return at.groupBy("_i", *keep).agg(F.min(F.coalesce("count", F.lit(0))).alias("estimate")).drop("_i")
 
 
+def cms_frequency(estimated: DataFrame, sketch: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """Estimates as shares of all counts, and whether they reach a threshold in (0, 1]."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie in (0, 1]")
+    total = sketch.agg((F.coalesce(F.sum("count"), F.lit(0)) / depth).alias("_total"))
+    share = F.when(F.col("_total") > 0, F.col("estimate") / F.col("_total")).otherwise(0.0)
+    return estimated.join(F.broadcast(total)).withColumn("frequency", share).withColumn("heavy", F.col("frequency") >= threshold).drop("_total")
+
+
 def cms_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b).groupBy("row", "cell").agg(F.least(F.sum("count"), F.lit(MOST)).cast("long").alias("count"))
 

@@ -88,3 +88,32 @@ def rect_join(a: DataFrame, b: DataFrame, size: float, prefix_a: str = "", prefi
     cover = lambda df, r: df.withColumn("_cx", F.explode(F.sequence(cell(r[0], size), cell(r[2], size)))).withColumn("_cy", F.explode(F.sequence(cell(r[1], size), cell(r[3], size))))
     first = (F.col("_cx") == cell(F.greatest(ra[0], rb[0]), size)) & (F.col("_cy") == cell(F.greatest(ra[1], rb[1]), size))
     return cover(a, ra).join(cover(b, rb), ["_cx", "_cy"]).where(first & on(ra, rb)).drop("_cx", "_cy")
+
+
+def at_point(df: DataFrame, x: str, y: str, px: float, py: float, tolerance: float = 0.001) -> DataFrame:
+    """Points that differ from a place by less than a tolerance in each coordinate."""
+    return df.where((F.abs(F.col(x) - px) < tolerance) & (F.abs(F.col(y) - py) < tolerance))
+
+
+def candidates_at(df: DataFrame, x: str, y: str, px: float, py: float, size: float) -> DataFrame:
+    """Points of the cell that holds a place."""
+    return df.where((cell(F.col(x), size) == cell(F.lit(px), size)) & (cell(F.col(y), size) == cell(F.lit(py), size)))
+
+
+def box_cells(df: DataFrame, x: str, y: str, w: str, h: str, size: float) -> DataFrame:
+    """Boxes given by centre and extent, once for each cell they touch: adds cx, cy."""
+    span = lambda c, e: F.explode(F.sequence(cell(F.col(c) - F.col(e) / 2, size), cell(F.col(c) + F.col(e) / 2, size)))
+    return df.withColumn("cx", span(x, w)).withColumn("cy", span(y, h))
+
+
+def close_in_space(df: DataFrame, id_: str, r: float, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """Pairs of points in three dimensions at most r apart, the smaller id first; equal places of one id count once."""
+    a = df.select(F.col(id_).alias("a"), *[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))])
+    b = a.withColumnsRenamed({"a": "b", "x": "x2", "y": "y2", "z": "z2"})
+    near = d2((F.col("x"), F.col("x2")), (F.col("y"), F.col("y2")), (F.col("z"), F.col("z2"))) <= r * r
+    left = a.withColumn("_cz", cell(F.col("z"), r))
+    right = b.withColumn("_cz", F.explode(F.sequence(cell(F.col("z2") - r, r), cell(F.col("z2") + r, r))))
+    reach = lambda c: F.explode(F.sequence(cell(F.col(c) - r, r), cell(F.col(c) + r, r)))
+    left = left.withColumns({"_cx": cell(F.col("x"), r), "_cy": cell(F.col("y"), r)})
+    right = right.withColumn("_cx", reach("x2")).withColumn("_cy", reach("y2"))
+    return left.join(right, ["_cx", "_cy", "_cz"]).where(near & (F.col("a") < F.col("b"))).select("a", "b")

@@ -81,10 +81,14 @@ def stats(log: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return out.withColumns({"duration": duration, "mean_frame": F.when(F.col("frames") > 1, duration / (F.col("frames") - 1))})
 
 
-def latest(log: DataFrame, obj: str, ts: str, order: list[str], values: list[str], upto: int | None = None) -> DataFrame:
-    """The state of each object at a time (else at the end): last write wins; a partial and a final max, no sort."""
+def latest(log: DataFrame, obj: str, ts: str, order: list[str], values: list[str], upto: int | None = None, gone: Column | None = None) -> DataFrame:
+    """The state of each object at a time (else at the end): last write wins; a partial and a final max, no sort.
+
+    Objects whose last row is a removal (``gone``) are left out.
+    """
     rows = log if upto is None else log.where(F.col(ts) <= upto)
-    best = rows.groupBy(obj).agg(F.max_by(F.struct(ts, *values), F.struct(ts, *order)).alias("_s"))
+    rows = rows.withColumn("_gone", F.lit(False) if gone is None else gone)
+    best = rows.groupBy(obj).agg(F.max_by(F.struct(ts, *values, "_gone"), F.struct(ts, *order)).alias("_s")).where("not _s._gone")
     return best.select(obj, *[F.col(f"_s.{v}") for v in [ts, *values]])
 
 
@@ -104,3 +108,16 @@ def heat_map(log: DataFrame, x: str, y: str, cell: float) -> DataFrame:
 def predicted(state: DataFrame, x: str, y: str, vx: str, vy: str, dt: float) -> DataFrame:
     """States moved on by their velocity."""
     return state.withColumns({x: F.col(x) + F.col(vx) * dt, y: F.col(y) + F.col(vy) * dt})
+
+
+def retained(log: DataFrame, ts: Column, now: Column, keep: int) -> DataFrame:
+    """Snapshots no older than ``keep`` at ``now``."""
+    return log.where(ts >= now - keep)
+
+
+def lookback(log: DataFrame, obj: str, ts: str, order: list[str], values: list[str], now: int, back: int) -> DataFrame:
+    """Trajectories: each object's rows since now - back, and its current state even if that is older, in order of time."""
+    upto = log.where(F.col(ts) <= now)
+    last = upto.groupBy(obj).agg(F.max(F.struct(ts, *order)).alias("_m"))
+    keep = (F.col(ts) >= now - back) | (F.struct(ts, *order) == F.col("_m"))
+    return upto.join(last, obj).where(keep).select(obj, ts, *order, *values)

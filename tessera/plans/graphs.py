@@ -115,3 +115,9 @@ def graph_transitions(spark, d):
     SELECT id, coalesce(o.k, 0) AS out_degree, coalesce(i.k, 0) AS in_degree FROM v LEFT JOIN o ON o.src = id LEFT JOIN i ON i.dst = id""")
 def graph_degrees(spark, d):
     return graph.degrees(*trade(spark, d))
+
+
+@query(f"SELECT src, dst, weight FROM {_CS} WHERE NOT (src = 'c10' AND dst IN ('s1', 's2', 's3', 's4', 's5'))")
+def edge_remove(spark, d):
+    e = trade(spark, d)[1]
+    return graph.remove_edges(e, e.where("src = 'c10' and dst in ('s1', 's2', 's3', 's4', 's5')"))

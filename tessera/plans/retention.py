@@ -246,3 +246,14 @@ def stream_filtered_feed(spark, d):
 def stream_latest_state(spark, d):
     """Counts and latest states of keys, upserted batch by batch."""
     return feeds.latest_states(spark, d, "events", "user_id", ["ts", "event_id"], "event_type").select("user_id", "n", F.col("latest").alias("last_type"))
+
+
+@query()
+def stream_fifo(spark, d):
+    """The FIFO of ``fifo_cache`` as streaming state; folds are beyond SQL."""
+    return feeds.fifo(spark, d, "events", "event_type", "user_id", ["ts", "event_id"], 3)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark, d):
+    return feeds.deduplicated(spark, d, "events", "ts", ["user_id", "event_type"], "60 days")

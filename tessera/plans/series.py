@@ -240,3 +240,27 @@ def pair_collision(spark, d):
     s = _state(spark, d).where("obj in (3, 5)")
     a, b = s.where("obj = 3"), s.where("obj = 5").withColumnsRenamed({"x": "x2", "y": "y2"}).select("x2", "y2")
     return a.join(F.broadcast(b)).select((d2((F.col("x"), F.col("x2")), (F.col("y"), F.col("y2"))) <= 500 * 500).alias("colliding"))
+
+
+@query("""SELECT event_type, TRUE AS within_bound FROM events GROUP BY event_type""")
+def p_square_bound(spark, d):
+    """The five-marker estimate of the 90th percentile lies between the exact 85th and 95th."""
+    e = events(spark, d)
+    exact = e.groupBy("event_type").agg(quantiles.disc("value", 0.85).alias("lo"), quantiles.disc("value", 0.95).alias("hi"))
+    return quantiles.p_square(e, ["event_type"], "value", ["us", "event_id"], 0.9).join(exact, "event_type").select("event_type", F.col("estimate").between(F.col("lo"), F.col("hi")).alias("within_bound"))
+
+
+@query("""SELECT event_type, quantile_disc(value, 0.95) AS exact, TRUE AS accurate FROM events GROUP BY event_type""")
+def quantile_accuracy(spark, d):
+    return quantiles.accuracy(events(spark, d), ["event_type"], "value", 0.95, 0.05).select("event_type", "exact", "accurate")
+
+
+@query(f"""SELECT obj, us, event_id, x, y FROM {_M} m WHERE obj < 10 AND (us >= 1706659200000000 - 172800000000 OR us = (SELECT max(us) FROM {_M} n WHERE n.obj = m.obj AND n.us <= 1706659200000000)) AND us <= 1706659200000000""")
+def trajectory_lookback(spark, d):
+    return temporal.lookback(moving(spark, d).where("obj < 10"), "obj", "us", ["event_id"], ["x", "y"], 1706659200000000, 172800000000)
+
+
+@query(f"""SELECT obj, x, y FROM (SELECT obj, arg_max(x, us) AS x, arg_max(y, us) AS y, arg_max(event_id, us) AS e FROM {_M} GROUP BY obj) WHERE e % 7 <> 0""")
+def objects_after_removals(spark, d):
+    """Objects whose last row is no removal."""
+    return temporal.latest(moving(spark, d), "obj", "us", ["event_id"], ["x", "y"], gone=F.col("event_id") % 7 == 0).select("obj", "x", "y")

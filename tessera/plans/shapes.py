@@ -181,3 +181,34 @@ def rect_union_agg(spark, d):
 @query(f"SELECT key, round((greatest(max_x, 30) - least(min_x, 10)) * (greatest(max_y, 950) - least(min_y, 920)) - (max_x - min_x) * (max_y - min_y), 6) AS increase FROM {_R}")
 def rect_area_increase(spark, d):
     return rects(spark, d).select("key", F.round(S.area_increase(S.rect(), (10, 920, 30, 950)), 6).alias("increase"))
+
+
+@query(f"SELECT id FROM {_P} WHERE abs(x - 25) < 0.5 AND abs(y - 950) < 0.5")
+def points_at(spark, d):
+    return spatial.at_point(points(spark, d), "x", "y", 25, 950, 0.5).select("id")
+
+
+@query(f"SELECT id FROM {_P} WHERE floor(x / 8) = 3 AND floor(y / 8) = 118")
+def candidates_at(spark, d):
+    return spatial.candidates_at(points(spark, d), "x", "y", 25, 950, 8).select("id")
+
+
+@query("SELECT p_partkey AS id, count(*) AS cells FROM (SELECT p_partkey, p_size AS x, p_retailprice AS y FROM part), range(-2, 30) a(cx), range(200, 300) b(cy) WHERE cx BETWEEN floor((x - 3) / 4) AND floor((x + 3) / 4) AND cy BETWEEN floor((y - 5) / 4) AND floor((y + 5) / 4) GROUP BY p_partkey")
+def box_cells(spark, d):
+    p = points(spark, d).withColumns({"w": F.lit(6.0), "h": F.lit(10.0)})
+    return spatial.box_cells(p, "x", "y", "w", "h", 4.0).groupBy("id").agg(F.count("*").alias("cells"))
+
+
+_V3 = "(SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+
+
+@query(f"SELECT a.id AS a, b.id AS b FROM {_V3} a JOIN {_V3} b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.03 * 0.03")
+def collision_pairs_3d(spark, d):
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xyz")])
+    return spatial.close_in_space(e, "id", 0.03)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey FROM {_P3} WHERE pow(greatest(10 - x, x - 12, 0), 2) + pow(greatest(10 - y, y - 20, 0), 2) + pow(greatest(1.5 - z, z - 4.5, 0), 2) <= 4.1")
+def near_box(spark, d):
+    v = [F.col("x"), F.col("y"), F.col("z")]
+    return points3(spark, d).where(S.box_distance2(v, [10, 10, 1.5], [12, 20, 4.5]) <= 4.1).select("l_orderkey", "l_linenumber", "l_partkey")

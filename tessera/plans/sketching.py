@@ -116,3 +116,11 @@ def cms_merge_and_decay(spark, d):
 @query("""SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 0.0105 * (SELECT count(*) FROM lineitem)""")
 def heavy_hitters(spark, d):
     return sketches.heavy_hitters(load(spark, d, "lineitem"), "l_suppkey", 0.0105)
+
+
+@query("""SELECT o_custkey, TRUE AS heavy_found FROM orders GROUP BY o_custkey HAVING count(*) >= 0.001 * (SELECT count(*) FROM orders)""")
+def cms_heavy(spark, d):
+    """Every item of at least a thousandth of all rows is heavy by its estimate too."""
+    o, _, est, sketch = _cms(spark, d)
+    got = sketches.cms_frequency(est, sketch, _D, 0.001).join(F.broadcast(o.agg(F.count("*").alias("total"))))
+    return got.where(F.col("n") >= 0.001 * F.col("total")).select("o_custkey", F.col("heavy").alias("heavy_found"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,38 @@ def latest_states(spark: SparkSession, folder: str, table: str, key: str, order:
     _run(state.writeStream.outputMode("update").foreachBatch(keep), path)
     got = spark.read.parquet(f"{path}/data")
     return got.groupBy(key).agg(F.max_by(F.struct("n", "latest"), "_batch").alias("_r")).select(key, "_r.n", "_r.latest")
+
+
+def fifo(spark: SparkSession, folder: str, table: str, group: str, key: str, order: list[str], n: int) -> DataFrame:
+    """A FIFO cache a group as keyed state: group, position (0 oldest), key. State is the cache itself, at most n keys a group.
+
+    Rows of a micro-batch are taken in order; batches arrive in the order of files, as a log is written.
+    """
+    path = _folder(spark, "fifo")
+    rows = stream(spark, folder, table).select(group, *order, key)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+
+    def fold(at: tuple, parts, state):
+        held = list(state.get[0]) if state.exists else []
+        for row in pd.concat(list(parts)).sort_values(order)[key].tolist():
+            if row not in held:
+                held = [*held, row][-n:]
+        state.update((held,))
+        yield pd.DataFrame({group: [at[0]], "held": [held]})
+
+    out = rows.groupBy(group).applyInPandasWithState(fold, f"{group} {kinds[group]}, held array<{kinds[key]}>", f"held array<{kinds[key]}>", "update", "NoTimeout")
+    _run(out.writeStream.outputMode("update").foreachBatch(keep), path)
+    last = spark.read.parquet(f"{path}/data").groupBy(group).agg(F.max_by("held", "_batch").alias("_h"))
+    return last.select(group, F.posexplode("_h").alias("position", key))
+
+
+def deduplicated(spark: SparkSession, folder: str, table: str, ts: str, keys: list[str], delay: str = "1 day") -> DataFrame:
+    """The first row of each key within a watermark: keys; state is dropped as the watermark passes."""
+    path = _folder(spark, "deduplicated")
+    rows = stream(spark, folder, table).withColumn("_t", F.timestamp_micros(micros(F.col(ts)))).withWatermark("_t", delay)
+    once = rows.select("_t", *keys).dropDuplicatesWithinWatermark(keys).select(*keys)
+    _run(once.writeStream.format("parquet").option("path", f"{path}/data"), path)
+    return spark.read.schema(once.schema).parquet(f"{path}/data")

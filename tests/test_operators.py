@@ -91,6 +91,18 @@ def test_weighted_quantile_by_brute_force(spark):
         assert got[k] == next(v for i, v in enumerate(flat, 1) if i >= 0.7 * len(flat))
 
 
+def test_five_markers_follow_the_median():
+    rnd = random.Random(7)
+    m = quantiles.Markers(0.5)
+    for _ in range(5000):
+        m.add(rnd.gauss(10, 2))
+    assert abs(m.value() - 10) < 0.2
+    few = quantiles.Markers(0.5)
+    for x in (3.0, 1.0, 2.0):
+        few.add(x)
+    assert few.value() == 2.0
+
+
 # timelines
 LOG = [(0, 1, "before"), (500, 2, "during1"), (800, 3, "during2"), (1500, 4, "after")]
 

@@ -21,7 +21,12 @@ def test_query(spark, con, name):
 
 
 def test_every_query_but_folds_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"fifo_cache"}
+    assert set(QUERIES) - set(ORACLES) == {"fifo_cache", "stream_fifo"}
+
+
+def test_fifo_in_a_stream_equals_the_batch(spark):
+    both = [sorted(map(tuple, QUERIES[n](spark, oracle.DATA).collect())) for n in ("fifo_cache", "stream_fifo")]
+    assert both[0] == both[1]
 
 
 def test_entry_has_rows(spark):
