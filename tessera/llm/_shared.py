@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -11,6 +12,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,14 +45,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that ``written`` made and that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)  # twice does no harm
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables that one run of an operator writes; ``clear`` deletes those that its result does not read."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def clear(self, *keep: DataFrame) -> None:
+        for t in self.tables:
+            if not any(t is k for k in keep):
+                discard(t)
+        self.tables = list(keep)
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of DataFrames that no longer exist."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of DataFrames that no longer exist: it does so as the driver collects garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+#: Bits of the bounded filter below: 2 MB, whatever the number of keys.
+FILTER_BITS = 1 << 24
+
+
+def maybe_among(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys``, before a join that settles it.
+
+    The keys set bits of a bitmap of fixed size, which is broadcast. Rows of other keys pass as often as bits are set, so a
+    crowded bitmap only spares less of the shuffle.
+    """
+    at = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)) + 1
+    made = keys.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_map"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_map", F.expr("1") + (place / 8).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(made), F.bitmap_bucket_number(at) == F.col("_bucket")).where(is_set).select(df.columns)
 
 
 def shipped(spark: SparkSession, value):

@@ -7,10 +7,12 @@ the prefixes of the others before their texts are compared exactly. In every ord
 over all documents, the most frequent kept in a bounded table) come last, each order shuffling tokens of like frequency by a
 hash of its own, so that passages which many documents share seldom stand in a prefix.
 
-Pairs inside a group that is already known to be linked add nothing to it. So cheap stars come first: classes that agree in a
-least hash are compared with one pivot, and verified links join components. Only prefix tokens that meet in two or more
-components can then yield a link that matters; the complete filter runs on these. Groups are exact: every pair of classes in
-different components that shares prefix tokens under all orders is verified.
+Pairs inside a group that is already known to be linked add nothing to it, and near copies come in groups. So groups come
+first: classes that agree in a least hash (one of four) form a bucket, and a bucket of bounded size is decided in full by one
+task, all pairs by bit sets, which gives back only links that span its linked parts. Buckets beyond the bound are compared
+with one pivot, the class of fewest rare tokens. What is left are pairs of different components that no bucket has decided:
+prefix tokens that meet in two or more components are joined, with the bound that token positions put on the overlap, and
+every pair that passes all orders is verified. Groups are exact; no pair is left out for the size of its group.
 
 Defined results: null and word-less texts have empty sets, link with nothing and form groups of their own. A text of fewer
 words than a shingle has one shingle, the whole. Repeated rows are one class. The id of a group is its smallest id; null ids
@@ -20,51 +22,57 @@ are ignored where another member has one. Empty tables give no rows. Only id and
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType
 
-from tessera.llm._shared import WordHashes, mix, release, small_batches, words, written
+from tessera.llm._shared import Scratch, discard, hashed_words, maybe_among, mix, range_hash, release, small_batches, written
 
 SHINGLE, PERCENT = 3, 90
 #: Global token orders that a pair must pass.
 ORDERS = 3
 #: Frequent tokens kept; a token counts as frequent in a batch from this share of its documents on.
 FREQUENT, SHARE = 65_536, 0.002
-#: Bins of the one-permutation sketch, stars per class, rounds of stars, and least agreement worth a comparison in a star.
-BINS, STARS, ROUNDS, AGREE = 32, 4, 2, 0.6
+#: Bins of the one-permutation sketch, buckets of a class, and least agreement worth a comparison with a pivot.
+BINS, STARS, AGREE = 32, 4, 0.75
+#: Least agreement with the pivot of a bucket for a class to be decided in it.
+LIKE = 0.25
+#: Classes and shingles of a bucket that one task decides.
+BUCKET, BUCKET_SHINGLES = 4096, 2_000_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(ws: list[bytes], hashes: WordHashes, k: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of k consecutive words, of all words if they are fewer."""
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(ws)
-    k = min(k, len(h))
-    out = h[: len(h) - k + 1] + np.uint64(k)
-    for i in range(1, k):
-        out = mix(out) * _GOLD + h[i : len(h) - k + 1 + i]
-    return np.unique(mix(out))
+def shingles(texts: Iterable[str | None], k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of k consecutive words, of all words if they are fewer."""
+    for _, w in hashed_words(texts, lower=True):
+        h = w.hash + np.uint64(k)
+        rolled = h
+        for i in range(1, k):
+            rolled = mix(rolled[:-1]) * _GOLD + h[i:] if len(h) > i else h[:0]
+        rolled = mix(rolled)
+        for first, n in zip(w.first.tolist(), w.sizes.tolist(), strict=True):
+            if n >= k:
+                yield np.unique(rolled[first : first + n - k + 1])
+            elif n:
+                whole = range_hash(h, np.array([first]), np.array([first + n]))
+                yield whole
+            else:
+                yield h[:0]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _lower(text: str | None) -> list[bytes]:
-    return [] if not text else text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only
-
-
 def _frequent(k: int, share: float):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
-            sets = [shingles(_lower(t), hashes, k) for t in b["text"]]
+            sets = list(shingles(b["text"], k))
             tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             keep = n >= max(3, share * len(sets))
             yield pd.DataFrame({"token": tokens[keep].view(np.int64), "n": n[keep].astype(np.int64)})
@@ -72,14 +80,18 @@ def _frequent(k: int, share: float):
     return count
 
 
-def order_keys(tokens: np.ndarray, order: int, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+def levels(tokens: np.ndarray, common: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The level of frequency of each token, 0 for those not in the table (whose tokens are sorted)."""
+    if not len(common):
+        return np.zeros(len(tokens), np.uint64)
+    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    return np.where(common[at] == tokens, level[at], np.uint64(0))
+
+
+def order_keys(tokens: np.ndarray, order: int, level: np.ndarray) -> np.ndarray:
     """Where tokens stand in a global order: level of frequency in the six high bits, a hash of the order's own below."""
     seed = np.uint64((0x51_7C_C1_B7_27_22_0A_95 * (order + 1)) & (2**64 - 1))
-    keys = mix(tokens ^ seed) >> np.uint64(6)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        keys |= np.where(common[at] == tokens, level[at], np.uint64(0)) << np.uint64(58)
-    return keys
+    return mix(tokens ^ seed) >> np.uint64(6) | level << np.uint64(58)
 
 
 def sketch(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,57 +110,71 @@ def sketch(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _signs(k: int, percent: int, common: np.ndarray, level: np.ndarray):
     def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for b in batches:
-            out = []
-            for t in b["text"]:
-                s = shingles(_lower(t), hashes, k)
-                if not len(s):
-                    out.append((0, None, None, None, None))
+            sets = list(shingles(b["text"], k))
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            lev = levels(flat, common, level)
+            keys = [order_keys(flat, order, lev) for order in range(ORDERS)]
+            out, at = [], 0
+            for s in sets:
+                n = len(s)
+                if not n:
+                    out.append((0, None, None, None, None, None, None))
                     continue
-                p = prefix_length(len(s), percent)
-                pre = []
-                for order in range(ORDERS):
-                    keys = order_keys(s, order, common, level)
-                    pre.append((np.partition(keys, p - 1)[:p] if p < len(keys) else keys).astype("<u8").tobytes())
+                p = min(n, prefix_length(n, percent))
+                pre = [np.sort(np.partition(x[at : at + n], p - 1)[:p]) for x in keys]
+                rare = int((lev[at : at + n] == 0).sum())
+                # Of the other orders' tokens 16 bits are kept: more pairs may pass, none that should is lost.
+                short = [x.astype("<u2").tobytes() for x in pre[1:]]
                 least, low = sketch(s)
-                out.append((len(s), hashlib.md5(s.tobytes()).digest(), pre, least.view(np.int64), low.tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "_d": b["_d"], "_th": b["_th"], "n": pd.Series(cols[0], dtype="int64"), "class": cols[1], "prefixes": cols[2], "least": cols[3], "low": cols[4]})
+                out.append((n, hashlib.md5(s.tobytes()).digest(), pre[0].astype("<u8").tobytes(), short, least.view(np.int64), low.tobytes(), rare))
+                at += n
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "_d": b["_d"], "_th": b["_th"], "n": pd.Series(cols[0], dtype="int64"), "class": cols[1], "prefix": cols[2], "others": cols[3], "least": cols[4], "low": cols[5], "rare": pd.Series(cols[6], dtype="Int32")})
 
     return signs
 
 
-SIGNS = "row long, doc_id long, _d long, _th long, n long, class binary, prefixes array<binary>, least array<long>, low binary"
+SIGNS = "row long, doc_id long, _d long, _th long, n long, class binary, prefix binary, others array<binary>, least array<long>, low binary, rare int"
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def _tokens(packed: pd.Series) -> pd.Series:
     return pd.Series([np.frombuffer(x, dtype="<i8") for x in packed])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([float((np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)).mean()) for a, b in zip(x, y, strict=True)], dtype=float)
 
 
-@F.pandas_udf("boolean")
-def _meet(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Whether two classes share a prefix token in each of some orders."""
-    return pd.Series([all(len(np.intersect1d(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"))) for p, q in zip(a, b, strict=True)) for a, b in zip(x, y, strict=True)], dtype=bool)
+def _meet(percent: int):
+    """Whether the prefixes of two classes share, in each of the other orders, as many tokens as similar sets must.
+
+    Similar sets share at least percent (n + m) / (100 + percent) tokens. Of the prefix that ends first in the order, all but
+    n less that number are shared, and lie in the other prefix too.
+    """
+
+    @F.pandas_udf(BooleanType())
+    def meet(n: pd.Series, x: pd.Series, m: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, p, b, q in zip(n, x, m, y, strict=True):
+            both = -(-percent * (a + b) // (100 + percent))
+            need = max(1, min(len(p[0]) // 2 - (a - both), len(q[0]) // 2 - (b - both)))
+            out.append(all(np.isin(np.frombuffer(s, "<u2"), np.frombuffer(t, "<u2")).sum() >= need for s, t in zip(p, q, strict=True)))
+        return pd.Series(out, dtype=bool)
+
+    return meet
 
 
 def _linked(k: int, percent: int):
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        hashes, kept, out = WordHashes(), {}, []
+        last, out = (None, None), []
         for a, b in zip(x, y, strict=True):
-            s = shingles(_lower(a), hashes, k)
-            t = kept.get(b)
-            if t is None:
-                if len(kept) > 64:
-                    kept.clear()
-                t = kept[b] = shingles(_lower(b), hashes, k)
+            if last[0] != b:  # pairs come in order of y
+                last = b, next(shingles([b], k))
+            s, t = next(shingles([a], k)), last[1]
             both = len(np.intersect1d(s, t, assume_unique=True))
             out.append(100 * both >= percent * (len(s) + len(t) - both))
         return pd.Series(out, dtype=bool)
@@ -156,6 +182,70 @@ def _linked(k: int, percent: int):
     return linked
 
 
+def spanning(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (indexes of sets) that join what is similar enough, directly or through others; all pairs are compared.
+
+    Tokens of two or more sets become bits, so a pair costs one AND and one count over words of 64 bits.
+    """
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    df = np.bincount(at)
+    column = np.cumsum(df > 1) - 1
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    width = -(-int((df > 1).sum()) // 64)
+    bits = np.zeros((len(sets), width * 64), np.uint8) if width else np.zeros((len(sets), 0), np.uint8)
+    if len(sets) * width * 64 <= 1 << 27:
+        row = np.repeat(np.arange(len(sets)), sizes)
+        keep = df[at] > 1
+        bits[row[keep], column[at[keep]]] = 1
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+    else:  # row by row: the unpacked table would be large
+        ends = np.cumsum(sizes)
+        packed = np.empty((len(sets), width), np.uint64)
+        for i, (e, n) in enumerate(zip(ends, sizes, strict=True)):
+            one, own = np.zeros(width * 64, np.uint8), at[e - n : e]
+            one[column[own[df[own] > 1]]] = 1
+            packed[i] = np.packbits(one).view(np.uint64)
+    packed, sizes = packed[order], sizes[order]
+    root = np.arange(len(sets))
+    links = []
+    for i in range(len(sets) - 1):
+        end = np.searchsorted(sizes, sizes[i] * 100 // percent, "right")
+        js = np.arange(i + 1, end)
+        js = js[root[js] != root[i]]
+        if not len(js):
+            continue
+        both = np.bitwise_count(packed[js] & packed[i]).sum(axis=1, dtype=np.int64)
+        for j in js[100 * both >= percent * (sizes[js] + sizes[i] - both)].tolist():
+            if root[j] != root[i]:
+                links.append((int(order[i]), int(order[j])))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def _decide(k: int, percent: int):
+    """Buckets, sorted, one after the other: the links that span each."""
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def links(nodes: list[int], texts: list[str]) -> pd.DataFrame:
+            found = spanning(list(shingles(texts, k)), percent)
+            return pd.DataFrame([(max(nodes[a], nodes[b]), min(nodes[a], nodes[b])) for a, b in found], columns=["x", "y"])
+
+        bucket, nodes, texts = None, [], []
+        for b in batches:
+            for key, node, text in zip(b["bucket"], b["node"].tolist(), b["text"], strict=True):
+                if key != bucket:
+                    if len(nodes) > 1:
+                        yield links(nodes, texts)
+                    bucket, nodes, texts = key, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node), texts.append(text)
+        if len(nodes) > 1:
+            yield links(nodes, texts)
+
+    return decide
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node of the edges x, y; alternating large and small stars."""
     now = written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "links")
@@ -168,7 +258,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: u and its neighbours below go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = written(small.distinct(), "links")
+        last, now = now, written(small.distinct(), "links")
+        discard(last)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
@@ -176,10 +267,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, share: float = SHARE, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
+def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, share: float = SHARE, frequent: int = FREQUENT, bucket: int = BUCKET, bucket_shingles: int = BUCKET_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = df.sparkSession
     small_batches(spark)
+    scratch = Scratch()
+    written = scratch.written
     texts = df.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = texts.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_th": F.xxhash64("text")})
     heavy = texts.select("text").mapInPandas(_frequent(shingle, share), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -190,7 +283,10 @@ def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int
     signs = texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_signs(shingle, percent, common[by_token], level[by_token]), SIGNS)
     signs = written(signs, "join-signs")
     reps = written(signs.where("n > 0").groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "join-classes")
-    nodes = written(signs.drop("class", "doc_id").join(reps.select("node"), F.col("row") == F.col("node")).drop("row"), "join-nodes")
+    nodes = written(signs.drop("class", "doc_id").join(reps.select("node").hint("merge"), F.col("row") == F.col("node")).drop("row"), "join-nodes")
+    members = written(signs.select("doc_id", "n", "class"), "join-members")
+    scratch.clear(reps, nodes, members)
+    del heavy, signs
     release(spark)
     where = nodes.select("node", "_d", "_th")
 
@@ -198,43 +294,81 @@ def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int
         """The pairs x, y of classes whose texts are similar enough."""
         pairs = written(pairs, "join-pairs")
         need = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct().join(where, "node")
-        got = texts.select("_d", "_th", "text").join(need, ["_d", "_th"]).select("node", "text")
-        got = written(got, "join-texts").dropDuplicates(["node"])
+        need = written(need, "join-need")
+        got = maybe_among(texts.select("_d", "_th", "text"), need, ["_d", "_th"]).join(need, ["_d", "_th"]).select("node", "text")
+        fetched = written(got, "join-texts")
+        got = fetched.dropDuplicates(["node"])
         x, y = got.select(F.col("node").alias("x"), F.col("text").alias("tx")), got.select(F.col("node").alias("y"), F.col("text").alias("ty"))
         links = pairs.join(x, "x").join(y, "y").where(_linked(shingle, percent)(F.col("tx"), F.col("ty"))).select("x", "y")
         links = written(links, "join-links")
+        del got, fetched, x, y
         release(spark)
         return links
 
-    links = None
-    joined = nodes.select("node", F.col("node").alias("component"))
-    for r in range(rounds):
-        stars = nodes.select("node", "n", "low", F.posexplode("least").alias("q", "h")).join(joined, "node")
-        pivot = stars.groupBy("q", "h").agg(F.min_by(F.struct("node", "n", "low", "component"), F.xxhash64("node", F.lit(r), "q")).alias("p"), F.count("*").alias("m")).where("m > 1")
-        near = stars.join(pivot, ["q", "h"]).where((F.col("component") != F.col("p.component")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
-        pairs = near.where(_agreement(F.col("low"), F.col("p.low")) >= AGREE).select(F.col("node").alias("x"), F.col("p.node").alias("y")).distinct()
-        new = verified(pairs)
-        links = new if links is None else links.union(new)
-        joined = _joined(nodes, links)
-    tokens = nodes.select("node", "n", F.explode(_tokens(F.col("prefixes")[0])).alias("token")).join(joined, "node")
-    crossing = tokens.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    left = written(tokens.join(crossing, "token"), "join-crossing")
-    a, b = left, left.select("token", F.col("node").alias("y"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = a.join(b, "token").where((F.col("node") < F.col("y")) & (F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    pairs = pairs.select(F.col("node").alias("x"), "y").distinct()
-    others = F.slice("prefixes", 2, ORDERS - 1)
-    px, py = nodes.select(F.col("node").alias("x"), others.alias("px")), nodes.select(F.col("node").alias("y"), others.alias("py"))
-    pairs = pairs.join(px, "x").join(py, "y").where(_meet(F.col("px"), F.col("py"))).select("x", "y")
-    links = links.union(verified(pairs)) if links is not None else verified(pairs)
-    joined = _joined(nodes, links)
+    # Buckets of two or more classes; those within the bound are decided in full.
+    own = [F.xxhash64(F.lit(q), F.col("least")[q]) for q in range(STARS)]
+    stars = nodes.select("node", "n", "low", "rare", F.array(*own).alias("all")).withColumn("bucket", F.explode("all"))
+    # Classes meet by chance too: who hardly agrees with the bucket's pivot leaves it, and is then not held decided there.
+    first = stars.groupBy("bucket").agg(F.min_by(F.struct("low", "n"), F.struct("rare", F.xxhash64("node", "bucket"))).alias("p"), F.count("*").alias("m")).where("m > 1")
+    stars = stars.join(written(first.drop("m"), "join-first"), "bucket").where(_agreement(F.col("low"), F.col("p.low")) >= LIKE)
+    stars = written(stars.select("node", "n", "all", "bucket"), "join-stars")
+    shared = [F.when(F.min(F.col("all")[q]) == F.max(F.col("all")[q]), F.min(F.col("all")[q])) for q in range(STARS)]
+    sizes = stars.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("sum"), F.array(*shared).alias("shared")).where("m > 1")
+    sizes = written(sizes.withColumn("fits", (F.col("m") <= bucket) & (F.col("sum") <= bucket_shingles)), "join-buckets")
+    # A bucket whose classes all lie in a larger one (of equals the lesser key) is decided there.
+    over = sizes.select(F.col("bucket").alias("o"), F.col("m").alias("om")).where("fits")
+    inside = sizes.select("bucket", "m", F.explode("shared").alias("o")).where("o <> bucket").join(over, "o").where("om > m OR om = m AND o < bucket")
+    whole = sizes.where("fits").join(inside.select("bucket").distinct(), "bucket", "left_anti").select("bucket")
+    decided = stars.select("node", "bucket").join(written(whole, "join-whole"), "bucket")
+    mine = written(decided.groupBy("node").agg(F.collect_set("bucket").alias("done")).join(where, "node"), "join-done")  # four at most
+    send = maybe_among(texts.select("_d", "_th", "text"), mine, ["_d", "_th"]).join(mine, ["_d", "_th"]).select("node", "text", F.explode("done").alias("bucket"))
+    links = written(send.repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(_decide(shingle, percent), "x long, y long"), "join-links")
+    del send, decided, whole, inside, over
+    release(spark)
+    large = sizes.where("not fits").select("bucket")
+    if not large.isEmpty():
+        near = written(stars.select("node", "bucket").join(large, "bucket").join(nodes.select("node", "n", "low", "rare"), "node"), "join-large")
+        pivot = near.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "low"), F.struct("rare", F.xxhash64("node", "bucket"))).alias("p"))
+        near = near.join(written(pivot, "join-pivots"), "bucket").where((F.col("node") != F.col("p.node")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
+        links = links.union(verified(near.where(_agreement(F.col("low"), F.col("p.low")) >= AGREE).select(F.col("node").alias("x"), F.col("p.node").alias("y")).distinct()))
+    joined = scratch.written(_joined(nodes, links), "join-components")
+    tokens = nodes.select("node", "n", F.posexplode(_tokens("prefix")).alias("i", "token"))
+    met = written(tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "join-met")
+    shared = written(tokens.join(met.hint("merge"), "token"), "join-shared")
+    del tokens
+    release(spark)
+    placed = written(shared.join(joined, "node").join(mine.select("node", "done"), "node", "left"), "join-placed")
+    discard(shared)
+    crossing = written(placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token"), "join-tokens")
+    left = written(placed.join(crossing.hint("merge"), "token"), "join-crossing")
+    discard(placed)
+    release(spark)
+    a, b = left.alias("a"), left.alias("b")
+    size = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    # If this is the first token they share, no more than what follows it can be shared.
+    place = (100 + percent) * F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= percent * (F.col("a.n") + F.col("b.n"))
+    apart = (F.col("a.component") != F.col("b.component")) & ~F.coalesce(F.arrays_overlap("a.done", "b.done"), F.lit(False))
+    pairs = a.join(b, F.col("a.token") == F.col("b.token")).where((F.col("a.node") < F.col("b.node")) & apart & size & place)
+    pairs = written(pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct(), "join-candidates")
+    discard(left)
+    release(spark)
+    ends = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
+    end = written(maybe_among(nodes.select("node", "n", "others"), ends, ["node"]).join(ends, "node"), "join-ends")
+    x, y = (end.select(F.col("node").alias(c), F.struct("n", "others").alias(f"p{c}")) for c in "xy")
+    pairs = pairs.join(x, "x").join(y, "y").where(_meet(percent)(F.col("px.n"), F.col("px.others"), F.col("py.n"), F.col("py.others"))).select("x", "y")
+    links = links.union(verified(pairs))
+    joined = scratch.written(_joined(nodes, links), "join-components")
     lows = reps.select("node", "low").join(joined, "node")
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
     by_class = reps.select("class", "node").join(joined, "node").join(least, "component").select("class", "component_id")
-    out = signs.select("doc_id", F.col("n").alias("n_shingles"), "class").join(written(by_class, "join-groups"), "class", "left")
+    by_class = written(by_class, "join-groups")
+    scratch.clear(members, by_class)
+    del reps, nodes, joined, lows, least, left, a, b, x, y, ends, end, pairs, links, mine, stars, sizes, shared, placed
+    release(spark)
+    out = members.select("doc_id", F.col("n").alias("n_shingles"), "class").join(by_class, "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, component for all nodes."""
-    got = components(links)
-    return written(nodes.select("node").join(got, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "join-components")
+    return nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
