@@ -12,19 +12,22 @@ no rows. Repeated rows each get a slot of their own. Input columns beside key an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import written
 
-#: Keys in the sample, and fewest ranges.
-SAMPLE, RANGES = 16_384, 512
-#: Bytes a range should hold at most; more ranges are made for larger inputs.
+#: Keys in the sample, and fewest and most ranges (a range's window sorts some 60 bytes a record, not its texts).
+SAMPLE, RANGES, MOST_RANGES = 16_384, 512, 16_384
+#: Bytes of text a range should hold; more ranges are made for larger inputs.
 RANGE_BYTES = 64 << 20
 
 
-def _step(value: Column, bounds: list, fan: int = 32) -> Column:
-    """How many of the sorted bounds are <= value: a search tree of short literal arrays, ``fan`` wide."""
+def _step(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are <= value: a search tree of two levels of literal arrays."""
+    fan = max(32, math.isqrt(len(bounds)))
     if len(bounds) <= fan:
         return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= value)) if bounds else F.lit(0)
     width = -(-len(bounds) // fan)
@@ -49,7 +52,7 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     total = rows.agg(F.sum("size")).first()[0]
     if total is None:
         return _empty(rows, key)
-    count = max(ranges, -(-total // range_bytes))
+    count = min(max(ranges, -(-total // range_bytes)), MOST_RANGES)
     # A weighted draw without replacement: the largest u^(1/size), which are the smallest -ln(u)/size.
     u = (F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     drawn = sorted(r.k for r in rows.where("k is not null").orderBy(-F.log(u) / F.col("size"), "k").limit(max(sample, 4 * count)).select("k").collect())
