@@ -28,7 +28,7 @@ from tessera.llm._shared import small_batches
 
 TREES, BITS = 20, 48
 #: Candidates to gather, as a share of a block's rows, and at least.
-SHARE, LEAST = 0.6, 512
+SHARE, LEAST = 0.6, 2048
 #: Rows of a block of the index, and queries of a block that is broadcast (64 components: 4 MB).
 BLOCK, QUERIES = 8192, 8192
 NEIGHBOURS = "query_id long, vec_id long, score double"
