@@ -19,13 +19,13 @@ def trade(spark, d):
     return v, e
 
 
-_LINKS = """(SELECT p_partkey AS src, (p_partkey * 7 + 3) % 1000 AS dst, 1.0 + p_size AS weight FROM part WHERE p_partkey < 1000
-    UNION ALL SELECT p_partkey, (p_partkey * 3 + 1) % 1000, 20.0 + p_size FROM part WHERE p_partkey < 1000)"""
+_LINKS = """(SELECT p_partkey AS src, (p_partkey * 7 + 3) % 1000 AS dst, 1.0 + p_size AS weight FROM part
+    UNION ALL SELECT p_partkey, (p_partkey * 3 + 1) % 1000, 20.0 + p_size FROM part)"""
 
 
 def links(spark, d):
-    """A graph over parts below 1000 with two edges from each."""
-    p = load(spark, d, "part").where("p_partkey < 1000")
+    """A graph over parts with two edges from each."""
+    p = load(spark, d, "part")
     k, s = F.col("p_partkey"), F.col("p_size")
     e = p.select(k.alias("src"), ((k * 7 + 3) % 1000).alias("dst"), (s + 1.0).alias("weight")).union(p.select(k, (k * 3 + 1) % 1000, s + 20.0))
     return p.select(k.alias("id")), e
@@ -60,15 +60,15 @@ def nodes_within_distance(spark, d):
     return graph.distances(links(spark, d)[1], src, most=140).where("id <> source").select("id", "distance")
 
 
-@query(_DIST.format(140) + "SELECT dist AS total_weight FROM r WHERE id = 216")
+@query(_DIST.format(140) + "SELECT dist AS total_weight FROM r WHERE id = 73")
 def shortest_path_weight(spark, d):
-    return graph.shortest_path(spark, links(spark, d)[1], 1, 216).select("total_weight")
+    return graph.shortest_path(spark, links(spark, d)[1], 1, 73).select("total_weight")
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_LINKS}), b AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hops UNION SELECT e.dst, hops + 1 FROM b JOIN e ON e.src = b.id WHERE hops < 9)
-    SELECT CAST(min(hops) AS DOUBLE) AS total_weight, CAST(min(hops) + 1 AS INTEGER) AS length FROM b WHERE id = 500 HAVING count(*) > 0""")
+    SELECT CAST(min(hops) AS DOUBLE) AS total_weight, CAST(min(hops) + 1 AS INTEGER) AS length FROM b WHERE id = 514 HAVING count(*) > 0""")
 def shortest_unweighted(spark, d):
-    got = graph.shortest_path(spark, links(spark, d)[1], 1, 500, weighted=False)
+    got = graph.shortest_path(spark, links(spark, d)[1], 1, 514, weighted=False)
     return got.where("total_weight <= 9").select("total_weight", "length")
 
 
@@ -79,13 +79,13 @@ def clustering_coefficient(spark, d):
     return graph.clustering(links(spark, d)[1]).withColumn("coefficient", F.round("coefficient", 9))
 
 
-_F = "(SELECT p_partkey AS src, CASE WHEN p_partkey % 5 = 0 THEN p_partkey // 2 ELSE (p_partkey * 7 + 3) % 400 END AS dst FROM part WHERE p_partkey < 400)"
+_F = "(SELECT p_partkey AS src, CASE WHEN p_partkey % 5 = 0 THEN p_partkey // 2 ELSE (p_partkey * 7 + 3) % 400 END AS dst FROM part)"
 
 
-@query(f"""WITH RECURSIVE r AS (SELECT src AS a, dst AS b FROM {_F} UNION SELECT r.a, e.dst FROM r JOIN {_F} e ON e.src = r.b), v AS (SELECT p_partkey AS id FROM part WHERE p_partkey < 400)
+@query(f"""WITH RECURSIVE r AS (SELECT src AS a, dst AS b FROM {_F} UNION SELECT r.a, e.dst FROM r JOIN {_F} e ON e.src = r.b), v AS (SELECT p_partkey AS id FROM part)
     SELECT v.id, least(v.id, coalesce(min(x.b), v.id)) AS component FROM v LEFT JOIN (SELECT r.a, r.b FROM r JOIN r s ON r.a = s.b AND r.b = s.a) x ON x.a = v.id GROUP BY v.id""")
 def scc_components(spark, d):
-    p = load(spark, d, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("id"))
+    p = load(spark, d, "part").select(F.col("p_partkey").alias("id"))
     k = F.col("id")
     e = p.select(k.alias("src"), F.when(k % 5 == 0, F.expr("id div 2")).otherwise((k * 7 + 3) % 400).alias("dst"))
     return graph.strong_components(p, e)

@@ -152,10 +152,10 @@ def array_swap_remove(spark, d):
 
 
 def _users(spark, d, kind):
-    return load(spark, d, "events").where((F.col("event_type") == kind) & (F.col("event_id") % 7 < 3)).select("user_id").distinct()
+    return load(spark, d, "events").where((F.col("event_type") == kind) & (F.col("value") > 150)).select("user_id").distinct()
 
 
-_U = "(SELECT DISTINCT user_id FROM events WHERE event_type = '{}' AND event_id % 7 < 3)"
+_U = "(SELECT DISTINCT user_id FROM events WHERE event_type = '{}' AND value > 150)"
 _CL, _PU = _U.format("click"), _U.format("purchase")
 
 
@@ -216,12 +216,12 @@ def effective_changes(spark, d):
     return C.effective_changes(c, "item", "version")
 
 
-@query("""WITH a AS (SELECT user_id, max(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_id % 3 = 0 GROUP BY 1), b AS (SELECT user_id, max(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT user_id, max(value) AS v FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), b AS (SELECT user_id, max(value) AS v FROM events GROUP BY 1)
     SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'Add' WHEN b.user_id IS NULL THEN 'Remove' ELSE 'Replace' END AS action FROM a FULL JOIN b ON a.user_id = b.user_id WHERE a.v IS DISTINCT FROM b.v""")
 def change_feed(spark, d):
     e = load(spark, d, "events")
-    a = e.where((F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")) & (F.col("event_id") % 3 == 0)).groupBy("user_id").agg(F.max("value").alias("v"))
-    return C.diff(a, e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("value").alias("v")), "user_id", ["v"])
+    a = e.where(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")).groupBy("user_id").agg(F.max("value").alias("v"))
+    return C.diff(a, e.groupBy("user_id").agg(F.max("value").alias("v")), "user_id", ["v"])
 
 
 @query("SELECT c_name, CAST(row_number() OVER (ORDER BY c_name DESC) AS INTEGER) AS place FROM customer QUALIFY place <= 200")

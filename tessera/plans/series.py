@@ -255,9 +255,9 @@ def quantile_accuracy(spark, d):
     return quantiles.accuracy(events(spark, d), ["event_type"], "value", 0.95, 0.05).select("event_type", "exact", "accurate")
 
 
-@query(f"""SELECT obj, us, event_id, x, y FROM {_M} m WHERE obj < 10 AND (us >= 1706659200000000 - 172800000000 OR us = (SELECT max(us) FROM {_M} n WHERE n.obj = m.obj AND n.us <= 1706659200000000)) AND us <= 1706659200000000""")
+@query(f"""SELECT obj, us, event_id, x, y FROM {_M} m WHERE (us >= 1706659200000000 - 172800000000 OR us = (SELECT max(us) FROM {_M} n WHERE n.obj = m.obj AND n.us <= 1706659200000000)) AND us <= 1706659200000000""")
 def trajectory_lookback(spark, d):
-    return temporal.lookback(moving(spark, d).where("obj < 10"), "obj", "us", ["event_id"], ["x", "y"], 1706659200000000, 172800000000)
+    return temporal.lookback(moving(spark, d), "obj", "us", ["event_id"], ["x", "y"], 1706659200000000, 172800000000)
 
 
 @query(f"""SELECT obj, x, y FROM (SELECT obj, arg_max(x, us) AS x, arg_max(y, us) AS y, arg_max(event_id, us) AS e FROM {_M} GROUP BY obj) WHERE e % 7 <> 0""")

@@ -23,12 +23,12 @@ def radius_filter(spark, d):
     return spatial.within_radius(points(spark, d), "x", "y", 25, 950, 10)
 
 
-@query(f"SELECT a.id AS a, b.id AS b FROM {_P} a JOIN {_P} b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 WHERE a.id % 10 = 0")
+@query(f"SELECT a.id AS a, b.id AS b FROM {_P} a JOIN {_P} b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4")
 def radius_join(spark, d):
-    """Every tenth part with all parts within two."""
+    """Every part with all parts within two."""
     p = points(spark, d)
     b = p.select(F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return spatial.radius_join(p.where("id % 10 = 0").withColumnRenamed("id", "a"), b, 2).select("a", "b")
+    return spatial.radius_join(p.withColumnRenamed("id", "a"), b, 2).select("a", "b")
 
 
 @query(f"SELECT id FROM {_P} WHERE x BETWEEN 10 AND 20 AND y BETWEEN 920 AND 940")
@@ -75,7 +75,7 @@ def knn_join(spark, d):
 
 def _vectors(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return e, e.where("vec_id % 250 = 0")
+    return e, e.where("vec_id % 100 = 0")
 
 
 _DIST = {
@@ -87,7 +87,7 @@ _DIST = {
 
 
 def _knn(name: str, metric):
-    sql = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, {_DIST[name]} AS d FROM e a, e b WHERE a.vec_id % 250 = 0)
+    sql = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, {_DIST[name]} AS d FROM e a, e b WHERE a.vec_id % 100 = 0)
         SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank, round(d, 6) AS distance FROM p QUALIFY rank <= 10"""
 
     def run(spark, d):
@@ -95,7 +95,7 @@ def _knn(name: str, metric):
         return spatial.knn_vectors(e, q, 10, "vec_id", "v", metric).withColumn("distance", F.round("distance", 6))
 
     run.__name__ = f"knn_metric_{name}"
-    run.__doc__ = f"Ten nearest vectors of every 250th by the {name} metric."
+    run.__doc__ = f"Ten nearest vectors of every hundredth by the {name} metric."
     query(sql)(run)
 
 
@@ -150,11 +150,11 @@ def rects(spark, d):
     return p.select(F.col("p_partkey").alias("key"), (x - 1.5).alias("min_x"), (y - 1.0).alias("min_y"), (x + 1.5).alias("max_x"), (y + 1.0).alias("max_y"))
 
 
-@query(f"SELECT a.key AS a, b.key AS b FROM {_R} a JOIN {_R} b ON a.min_x <= b.max_x AND a.max_x >= b.min_x AND a.min_y <= b.max_y AND a.max_y >= b.min_y WHERE a.key % 10 = 0")
+@query(f"SELECT a.key AS a, b.key AS b FROM {_R} a JOIN {_R} b ON a.min_x <= b.max_x AND a.max_x >= b.min_x AND a.min_y <= b.max_y AND a.max_y >= b.min_y")
 def rect_intersect_join(spark, d):
     r = rects(spark, d)
     b = r.withColumnsRenamed({"key": "b"} | {e: f"o_{e}" for e in S.EDGES})
-    return spatial.rect_join(r.where("key % 10 = 0").withColumnRenamed("key", "a"), b, 4.0).select("a", "b")
+    return spatial.rect_join(r.withColumnRenamed("key", "a"), b, 4.0).select("a", "b")
 
 
 @query(f"SELECT key FROM {_R} WHERE min_x >= 10 AND min_y >= 920 AND max_x <= 30 AND max_y <= 950")
