@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, ngram_join, packing, substring, toxicity
-from tessera.llm._shared import written
+from tessera.llm._shared import discard, release, written
 from tessera.llm.queries import table, tokenizer_path
 
 
@@ -54,6 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents, each result written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for n, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if n:
+            discard(before)
+        release(spark)
     return docs
