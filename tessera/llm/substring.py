@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import BASE, OTHER, discard, hashed_words, mix, range_hash, release, small_batches, words, written
+from tessera.llm._shared import BASE, OTHER, Scratch, hashed_words, maybe_among, mix, range_hash, release, small_batches, words
 from tessera.llm.suffix import SuffixAutomaton
 
 LENGTH, GRAM = 35, 12
@@ -164,35 +164,42 @@ def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """_d, _th, starts: the first words of the repeated windows of each row that has some. ``df``: _d, _th, text."""
     spark = df.sparkSession
     small_batches(spark)
-    found = written(df.select("_d", "_th", "text").mapInPandas(_find(length, gram), "a long, c long, _d long, _th long, lo int"), "passages")
+    scratch = Scratch()
+    found = scratch.written(df.select("_d", "_th", "text").mapInPandas(_find(length, gram), "a long, c long, _d long, _th long, lo int"), "passages")
     # Written apart: a join of two fresh exchanges is one whose hot keys Spark can split.
-    again = written(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors-repeated")
-    met = written(found.join(again, "a"), "passages-met")
-    discard(found)
-    distinct = written(met.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_th", "lo")).alias("at")), "passages-distinct")
+    again = scratch.written(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors-repeated")
+    met = scratch.written(found.join(again, "a"), "passages-met")
+    scratch.clear(met)
+    del found, again
+    distinct = scratch.written(met.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_th", "lo")).alias("at")), "passages-distinct")
     release(spark)
     asked = distinct.select("at._d", "at._th", F.struct("at.lo", "n").alias("one")).groupBy("_d", "_th").agg(F.collect_set("one").alias("asked"))
     # Rows that repeat an id and its text are asked alike; one of them sends the passages.
     asked = asked.select("_d", "_th", F.col("asked.lo").alias("at"), F.col("asked.n").alias("n"))
-    sent = df.join(asked, ["_d", "_th"]).select("text", "at", "n").mapInPandas(_fetch(length, gram), "a long, c long, n long, passage binary")
+    asked = scratch.written(asked, "passages-asked")
+    sent = maybe_among(df, asked, ["_d", "_th"]).join(asked, ["_d", "_th"]).select("text", "at", "n").mapInPandas(_fetch(length, gram), "a long, c long, n long, passage binary")
     crowded = distinct.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("a")
-    crowded = written(crowded, "anchors-crowded")
+    crowded = scratch.written(crowded, "anchors-crowded")
     marks = "a long, c long, windows array<int>"
     if crowded.isEmpty():
         small = sent
         verdicts = None
     else:
-        sent = written(sent, "passages-sent")
+        sent = scratch.written(sent, "passages-sent")
         small = sent.join(crowded, "a", "left_anti")
         cells = sent.join(crowded, "a", "left_semi").mapInPandas(_windows(length), "w long, x long, a long, c long, n long, at int")
         twice = cells.groupBy("w", "x").agg(F.sum("n").alias("copies")).where("copies > 1").select("w", "x")
-        twice = written(twice, "windows-repeated")
+        twice = scratch.written(twice, "windows-repeated")
         verdicts = cells.join(twice, ["w", "x"]).groupBy("a", "c").agg(F.collect_set("at").alias("windows"))
     by_shard = small.repartition("a").sortWithinPartitions("a", "c").mapInPandas(_match(length, shard_words), marks)
-    verdicts = written(by_shard if verdicts is None else by_shard.unionByName(verdicts), "passages-marked")
+    verdicts = scratch.written(by_shard if verdicts is None else by_shard.unionByName(verdicts), "passages-marked")
     release(spark)
     starts = met.join(verdicts, ["a", "c"]).select("_d", "_th", F.transform("windows", lambda w: w + F.col("lo")).alias("s"))
-    return starts.groupBy("_d", "_th").agg(F.flatten(F.collect_set("s")).alias("starts"))
+    starts = scratch.written(starts.groupBy("_d", "_th").agg(F.flatten(F.collect_set("s")).alias("starts")), "passages-starts")
+    scratch.clear(starts)
+    del met, verdicts, small, sent, by_shard
+    release(spark)
+    return starts
 
 
 def _keep(length: int):
