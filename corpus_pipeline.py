@@ -16,12 +16,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.where("predicted = 0").select(docs.columns)
 
 
+#: What links documents in the near-copy stage: Jaccard similarity (in percent) of the sets of so many consecutive words.
+SHINGLE, PERCENT = 5, 80
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity, directly or through others, the one with the smallest id.
 
     Documents without an id stay unless their group has one with an id; rows that repeat an id are one document.
     """
-    groups = ngram_join.groups(docs)
+    groups = ngram_join.groups(docs, shingle=SHINGLE, percent=PERCENT)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
     return out.unionByName(docs.where("doc_id is null"))

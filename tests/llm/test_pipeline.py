@@ -1,6 +1,7 @@
 """Stages of the pipeline on awkward documents, and the whole of it."""
 
 import collections
+import random
 
 import corpus_pipeline
 import pytest
@@ -35,6 +36,27 @@ def test_one_of_each_group(spark, docs, rows):
     assert got == collections.Counter(i for i, _ in rows if i is None or i in keep)
 
 
+def kept_of(spark, rows):
+    got = corpus_pipeline.one_of_each_group(spark, samples.documents(spark, rows), oracle.DATA)
+    return collections.Counter((r.doc_id, r.text) for r in got.collect())
+
+
+def changed(text, *places):
+    w = text.split()
+    for p in places:
+        w[p] = f"other{p}"
+    return " ".join(w)
+
+
+def test_near_copies_of_80_percent(spark):
+    rnd = random.Random(5)
+    a, b, c = (samples.sentence(rnd, 50) for _ in range(3))
+    rows = [(1, a), (2, changed(a, 25)), (3, b), (4, changed(b, 15, 35)), (5, changed(a, 25, 40)), (6, c)]
+    assert [g for *_, g in brute_groups(rows)] == [1, 2, 3, 4, 5, 6]
+    assert [g for *_, g in brute_groups(rows, 5, 80)] == [1, 1, 3, 4, 1, 6]
+    assert kept_of(spark, rows) == collections.Counter(rows[i] for i in (0, 2, 3, 5))
+
+
 def test_repeats_leave_the_text(spark, docs, rows):
     got = collections.Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.drop_repeats(spark, docs, oracle.DATA).collect())
     want = collections.Counter()
