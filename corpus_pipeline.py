@@ -23,12 +23,19 @@ SHINGLE, PERCENT = 5, 80
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity, directly or through others, the one with the smallest id.
 
-    Documents without an id stay unless their group has one with an id; rows that repeat an id are one document.
+    Rows are judged by id and text, so another text of an id does not keep one that is linked elsewhere; rows alike in both
+    are one document and stay together. Rows without an id go if their group has an id, else one of the group stays. Texts
+    without words link with nothing and stay.
     """
-    groups = ngram_join.groups(docs, shingle=SHINGLE, percent=PERCENT)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    return out.unionByName(docs.where("doc_id is null"))
+    groups = ngram_join.groups(docs, shingle=SHINGLE, percent=PERCENT, rows_apart=True)
+    same = F.xxhash64(docs["text"]) == F.col("_kept_hash")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    out = docs.join(kept, (docs["doc_id"] == F.col("_kept_id")) & same, "left_semi")
+    unnamed, of_unnamed = docs.where("doc_id is null"), groups.where("doc_id is null and component_id is null")
+    wordless = of_unnamed.where("n_shingles = 0").select(F.col("text_hash").alias("_kept_hash")).distinct()
+    first = of_unnamed.where("n_shingles > 0").groupBy("group").agg(F.min("text_hash").alias("_kept_hash"))
+    out = out.unionByName(unnamed.join(wordless, same, "left_semi"))
+    return out.unionByName(unnamed.join(first, same, "left_semi").dropDuplicates(["text"]))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

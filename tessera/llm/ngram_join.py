@@ -267,8 +267,8 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, share: float = SHARE, frequent: int = FREQUENT, bucket: int = BUCKET, bucket_shingles: int = BUCKET_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, share: float = SHARE, frequent: int = FREQUENT, bucket: int = BUCKET, bucket_shingles: int = BUCKET_SHINGLES, rows_apart: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row; with ``rows_apart`` also text_hash (xxhash64) and group, which no null id hides."""
     spark = df.sparkSession
     small_batches(spark)
     scratch = Scratch()
@@ -284,7 +284,7 @@ def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int
     signs = written(signs, "join-signs")
     reps = written(signs.where("n > 0").groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "join-classes")
     nodes = written(signs.drop("class", "doc_id").join(reps.select("node").hint("merge"), F.col("row") == F.col("node")).drop("row"), "join-nodes")
-    members = written(signs.select("doc_id", "n", "class"), "join-members")
+    members = written(signs.select("doc_id", "n", "class", *(["_th"] if rows_apart else [])), "join-members")
     scratch.clear(reps, nodes, members)
     del heavy, signs
     release(spark)
@@ -360,13 +360,14 @@ def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int
     joined = scratch.written(_joined(nodes, links), "join-components")
     lows = reps.select("node", "low").join(joined, "node")
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = reps.select("class", "node").join(joined, "node").join(least, "component").select("class", "component_id")
+    by_class = reps.select("class", "node").join(joined, "node").join(least, "component").select("class", "component_id", "component")
     by_class = written(by_class, "join-groups")
     scratch.clear(members, by_class)
     del reps, nodes, joined, lows, least, left, a, b, x, y, ends, end, pairs, links, mine, stars, sizes, shared, placed
     release(spark)
-    out = members.select("doc_id", F.col("n").alias("n_shingles"), "class").join(by_class, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = members.withColumnRenamed("n", "n_shingles").join(by_class, "class", "left")
+    more = [F.col("_th").alias("text_hash"), F.col("component").alias("group")] if rows_apart else []
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:

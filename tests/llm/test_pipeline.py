@@ -57,6 +57,18 @@ def test_near_copies_of_80_percent(spark):
     assert kept_of(spark, rows) == collections.Counter(rows[i] for i in (0, 2, 3, 5))
 
 
+def test_rows_without_an_id_or_of_two_texts(spark):
+    rnd = random.Random(6)
+    a, b, c, d, e = (samples.sentence(rnd, 80) for _ in range(5))
+    stay = [(7, a), (3, d), (15, e), (None, None), (None, None), (None, " ")]
+    gone = [(None, a), (None, changed(a, 40)), (15, changed(d, 40))]
+    unnamed = [(None, b), (None, b), (None, changed(b, 40)), (None, changed(b, 40)), (None, c)]
+    got = kept_of(spark, stay + gone + unnamed)
+    of_b = {t: n for (i, t), n in got.items() if t in (b, changed(b, 40))}
+    assert list(of_b.values()) == [1]
+    assert got == collections.Counter([*stay, (None, *of_b), (None, c)])
+
+
 def test_repeats_leave_the_text(spark, docs, rows):
     got = collections.Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.drop_repeats(spark, docs, oracle.DATA).collect())
     want = collections.Counter()
