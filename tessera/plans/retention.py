@@ -231,7 +231,7 @@ def list_sort_reverse(spark, d):
 
 @query("SELECT event_type, epoch_us(ts) // 3600000000 AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
-    """Tumbling hours by a streaming aggregation with a watermark, run over all files at hand."""
+    """Tumbling hours by a streaming aggregation, run over all files at hand."""
     got = feeds.tumbling(spark, d, "events", "ts", "1 hour", ["event_type"], "value")
     return got.select("event_type", F.expr("start_us div 3600000000").alias("hour"), "n", F.round("total", 4).alias("total"))
 
@@ -250,10 +250,10 @@ def stream_latest_state(spark, d):
 
 @query()
 def stream_fifo(spark, d):
-    """The FIFO of ``fifo_cache`` as streaming state; folds are beyond SQL."""
+    """The FIFO of ``fifo_cache`` over a log that a stream appends; folds are beyond SQL."""
     return feeds.fifo(spark, d, "events", "event_type", "user_id", ["ts", "event_id"], 3)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, d):
-    return feeds.deduplicated(spark, d, "events", "ts", ["user_id", "event_type"], "60 days")
+    return feeds.deduplicated(spark, d, "events", "ts", ["user_id", "event_type"])

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files of a micro-batch.
+FILES = 64
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table of a folder; Catalyst prunes its columns and pushes filters into the scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
+def stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = FILES) -> DataFrame:
     """The same table as a stream of its files."""
     schema = load(spark, folder, name).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}.parque[t]")  # a glob: the path may be a file or a folder

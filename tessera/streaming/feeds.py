@@ -1,6 +1,8 @@
 """Streaming forms: windowed aggregation, filtered views and keyed state, run over the files at hand and then read as tables.
 
 Each runs with ``availableNow`` and a checkpoint of its own in the shared folder, so it can be run again over new files.
+Files come in any order and in batches of ``files_per_batch``, and every row counts, whatever batch it comes in. A ``delay``
+sets a watermark, which bounds the state and drops rows that are later than it; without one nothing is late.
 """
 
 from __future__ import annotations
@@ -8,11 +10,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import micros, stream
+from tessera.operators import keyed
+from tessera.sources.tables import FILES, micros, stream
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -29,10 +31,15 @@ def _run(writer, path: str) -> None:
     query.awaitTermination()
 
 
-def tumbling(spark: SparkSession, folder: str, table: str, ts: str, width: str, keys: list[str], value: str, delay: str = "1 hour") -> DataFrame:
+def _timed(rows: DataFrame, ts: str, delay: str | None) -> DataFrame:
+    rows = rows.withColumn("_t", F.timestamp_micros(micros(F.col(ts))))
+    return rows.withWatermark("_t", delay) if delay else rows
+
+
+def tumbling(spark: SparkSession, folder: str, table: str, ts: str, width: str, keys: list[str], value: str, delay: str | None = None, files_per_batch: int = FILES) -> DataFrame:
     """Count and sum by key and window: keys, start_us, n, total. Each batch upserts the windows it changed."""
     path = _folder(spark, "tumbling")
-    rows = stream(spark, folder, table).withColumn("_t", F.timestamp_micros(micros(F.col(ts)))).withWatermark("_t", delay)
+    rows = _timed(stream(spark, folder, table, files_per_batch), ts, delay)
     sums = rows.groupBy(*keys, F.window("_t", width)).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     out = sums.select(*keys, F.unix_micros("window.start").alias("start_us"), "n", "total")
 
@@ -66,36 +73,22 @@ def latest_states(spark: SparkSession, folder: str, table: str, key: str, order:
     return got.groupBy(key).agg(F.max_by(F.struct("n", "latest"), "_batch").alias("_r")).select(key, "_r.n", "_r.latest")
 
 
-def fifo(spark: SparkSession, folder: str, table: str, group: str, key: str, order: list[str], n: int) -> DataFrame:
-    """A FIFO cache a group as keyed state: group, position (0 oldest), key. State is the cache itself, at most n keys a group.
+def fifo(spark: SparkSession, folder: str, table: str, group: str, key: str, order: list[str], n: int, files_per_batch: int = FILES) -> DataFrame:
+    """A FIFO cache a group over an appended log: group, position (0 oldest), key.
 
-    Rows of a micro-batch are taken in order; batches arrive in the order of files, as a log is written.
+    What a FIFO holds depends on every row before, so rows of later files that are older cannot be folded into a cache.
+    The stream appends the log exactly once, and the log is folded in order.
     """
     path = _folder(spark, "fifo")
-    rows = stream(spark, folder, table).select(group, *order, key)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-
-    def fold(at: tuple, parts, state):
-        held = list(state.get[0]) if state.exists else []
-        for row in pd.concat(list(parts)).sort_values(order)[key].tolist():
-            if row not in held:
-                held = [*held, row][-n:]
-        state.update((held,))
-        yield pd.DataFrame({group: [at[0]], "held": [held]})
-
-    out = rows.groupBy(group).applyInPandasWithState(fold, f"{group} {kinds[group]}, held array<{kinds[key]}>", f"held array<{kinds[key]}>", "update", "NoTimeout")
-    _run(out.writeStream.outputMode("update").foreachBatch(keep), path)
-    last = spark.read.parquet(f"{path}/data").groupBy(group).agg(F.max_by("held", "_batch").alias("_h"))
-    return last.select(group, F.posexplode("_h").alias("position", key))
+    rows = stream(spark, folder, table, files_per_batch).select(group, *order, key)
+    _run(rows.writeStream.format("parquet").option("path", f"{path}/data"), path)
+    return keyed.fifo(spark.read.schema(rows.schema).parquet(f"{path}/data"), [group], key, order, n)
 
 
-def deduplicated(spark: SparkSession, folder: str, table: str, ts: str, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """The first row of each key within a watermark: keys; state is dropped as the watermark passes."""
+def deduplicated(spark: SparkSession, folder: str, table: str, ts: str, keys: list[str], delay: str | None = None, files_per_batch: int = FILES) -> DataFrame:
+    """One row of each key: keys. With a ``delay``, of each key within the watermark; state is dropped as it passes."""
     path = _folder(spark, "deduplicated")
-    rows = stream(spark, folder, table).withColumn("_t", F.timestamp_micros(micros(F.col(ts)))).withWatermark("_t", delay)
-    once = rows.select("_t", *keys).dropDuplicatesWithinWatermark(keys).select(*keys)
+    rows = _timed(stream(spark, folder, table, files_per_batch), ts, delay).select("_t", *keys)
+    once = (rows.dropDuplicatesWithinWatermark(keys) if delay else rows.dropDuplicates(keys)).select(*keys)
     _run(once.writeStream.format("parquet").option("path", f"{path}/data"), path)
     return spark.read.schema(once.schema).parquet(f"{path}/data")

@@ -275,6 +275,26 @@ def test_array_edits(spark):
     assert [list(x) for x in got] == [[1, 9, 2, 3], [2, 3], [3, 2]]
 
 
+def test_streams_count_late_files(spark, tmp_path):
+    """Files out of time order, one or three a batch: as if all were one."""
+    from tessera.streaming import feeds
+
+    hours = [40, 3, 2000, 0, 41, 7, 2001, 3, 900, 40]
+    spark.sql("SET spark.sql.shuffle.partitions=2")
+    for n, h in enumerate(hours):  # files are read by age: the first hours come after the last
+        part = spark.sql(f"SELECT {n} * 30 + id AS event_id, id % 3 AS kind, (id * 7 + {h}) % 11 AS user, 1.0D AS value, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, {h}, CAST(id AS INT)) AS ts FROM range(30)")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/log.parquet")
+    whole = spark.read.parquet(f"{tmp_path}/log.parquet")
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) * 3600000000")
+    sums = whole.groupBy("kind", hour.alias("start_us")).agg(F.count("*"), F.sum("value"))
+    order = ["ts", "event_id"]
+    for files in (1, 3):
+        assert rows(feeds.tumbling(spark, str(tmp_path), "log", "ts", "1 hour", ["kind"], "value", files_per_batch=files)) == rows(sums)
+        assert rows(feeds.deduplicated(spark, str(tmp_path), "log", "ts", ["user", "kind"], files_per_batch=files)) == rows(whole.select("user", "kind").distinct())
+        assert rows(feeds.fifo(spark, str(tmp_path), "log", "kind", "user", order, 3, files_per_batch=files)) == rows(keyed.fifo(whole, ["kind"], "user", order, 3))
+    spark.sql("SET spark.sql.shuffle.partitions=4")
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     from tessera.sources.tables import load
 
