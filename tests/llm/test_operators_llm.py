@@ -240,6 +240,23 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 150 and {r.query_id for r in got} == set(range(0, 1500, 100))
 
 
+def test_neighbours_by_the_forest(spark):
+    """A block above the floor: candidates are a part of it, and the nearest are among them."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((60, 16)), 25, axis=0) + 0.05 * rng.standard_normal((1500, 16))
+    planes = np.random.default_rng(7).standard_normal((ann.TREES, ann.BITS, 16))
+    near = list(ann.Forest(x, planes, x.mean(0)).candidates(x[::100], 40))
+    assert np.mean([len(n) for n in near]) < 0.5 * 1500
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = ann.neighbours(df, F.col("vec_id") % 100 == 0, share=0.01, least=40).collect()
+    hits = 0
+    for q in range(0, 1500, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 150
+
+
 def test_few_and_no_neighbours(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], kind)
