@@ -118,15 +118,17 @@ def score(df: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     spark = df.sparkSession
     small_batches(spark)
     trusted = labels.where(learn & (F.col(label) == 1)).select(F.col(id_).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(positives)
-    web = df.select(F.col(id_).alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled)
+    web = df.select(F.col(id_).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled)
     chosen = trusted.withColumn("_p", F.lit(1)).union(web.withColumn("_p", F.lit(0)))
 
     @F.pandas_udf("binary")
     def packed(b: pd.Series) -> pd.Series:
         return pd.Series([x.tobytes() for x in features(list(b))], dtype=object)
 
-    rows = df.select(F.col(id_).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id").select("_id", "_p", packed("_t").alias("x"))
-    rows = rows.orderBy("_p", F.xxhash64("_id", F.lit(2)), "_id", "x").limit(2 * (positives + unlabelled)).collect()
+    # One row an id: of rows that repeat it the one with the least text.
+    texts = df.select(F.col(id_).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen.select("_id").distinct()), "_id").groupBy("_id").agg(F.min("_t").alias("_t"))
+    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_p", packed("_t").alias("x"))
+    rows = rows.orderBy("_p", F.xxhash64("_id", F.lit(2)), "_id").collect()  # positives + unlabelled at most
     both = [np.array([np.frombuffer(r.x, np.float32) for r in rows if r._p == k]) for k in (1, 0)]
     model = train(*both) if min(map(len, both)) > 3 else None
     sent = shipped(spark, model)

@@ -353,6 +353,15 @@ def test_quality(labelled, none):
     assert {r.score for r in quality.score(docs, labels.limit(0), F.lit(True)).collect()} == {0.5}
 
 
+def test_quality_with_a_repeated_id(labelled):
+    """Rows of one id do not push the positives out of the sample."""
+    docs, labels, known = labelled
+    held = [(i, q) for i, q, _ in known if i % 3 == 0]
+    again = docs.where(F.col("doc_id") == held[0][0]).crossJoin(docs.sparkSession.range(150).select()).select(docs.columns)
+    got = {r.doc_id: r for r in quality.score(docs.unionByName(again), labels, F.col("doc_id") % 3 != 0, positives=300, unlabelled=300).collect()}
+    assert sum(got[i].predicted == q for i, q in held) >= 0.9 * len(held)
+
+
 def test_gradient_of_the_network():
     net = toxicity.Network(["aa", "bb", "cc"], seed=1)
     ws = ["aa", "bb", "cc", "dd"]
