@@ -7,6 +7,7 @@ shared folder of the session), which cuts the lineage and survives lost executor
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,11 +66,12 @@ def statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return got.withColumn("density", F.when(n > 1, F.col("edges") / (n * (n - 1))).otherwise(0.0))
 
 
-def distances(edges: DataFrame, sources: DataFrame, weighted: bool = True, most: float | None = None, target: Column | None = None, max_rounds: int = 10_000) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, weighted: bool = True, most: float | None = None, target: Column | None = None, max_rounds: int | None = None) -> DataFrame:
     """Least distance from each source to each vertex it reaches: source, id, distance, via (the vertex before, the smallest of equals).
 
     sources: id. Rounds relax only from vertices whose distance fell. Weights have to be non-negative; ``most`` bounds the
     distance; unweighted edges count 1. With a ``target`` the rounds end when nothing on the frontier is nearer than it.
+    Rounds go on until the frontier is empty; if ``max_rounds`` end with a frontier left, that is an error.
     """
     w = F.col("weight").cast("double") if weighted else F.lit(1.0)
     if weighted:
@@ -78,7 +80,7 @@ def distances(edges: DataFrame, sources: DataFrame, weighted: bool = True, most:
     empty = F.lit(None).cast(steps.schema["src"].dataType)
     known = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), empty.alias("via")))
     frontier = known
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         reach = frontier.join(steps, frontier["id"] == steps["src"]).select("source", F.col("dst").alias("id"), (F.col("distance") + F.col("w")).alias("distance"), F.col("src").alias("via"))
         if most is not None:
             reach = reach.where(F.col("distance") <= most)
@@ -94,6 +96,8 @@ def distances(edges: DataFrame, sources: DataFrame, weighted: bool = True, most:
                 break
         if frontier.isEmpty():
             break
+    else:
+        raise RuntimeError(f"vertices are left to relax after {max_rounds} rounds")
     return known
 
 

@@ -117,7 +117,8 @@ def populated(grid: DataFrame, shape: DataFrame, include_empty: bool = False) ->
 def hex_costs(cells_: DataFrame, start: tuple[int, int], most: float | None = None, max_rounds: int = 100_000) -> DataFrame:
     """Least cost of entering each known, unblocked cell from the start: q, r, cost. cells: q, r, enter_cost, blocked.
 
-    The start is never checked; the plane ends where known cells end, so an enclosed goal ends the search too.
+    The start is never checked; the plane ends where known cells end, so an enclosed goal ends the search too. If
+    ``max_rounds`` end with cells left to relax, that is an error.
     """
     open_ = cells_.where("not blocked").select("q", "r", F.col("enter_cost").cast("double").alias("w"))
     spark = cells_.sparkSession
@@ -134,6 +135,8 @@ def hex_costs(cells_: DataFrame, start: tuple[int, int], most: float | None = No
         known, frontier = merged.drop("_new"), merged.where("_new").drop("_new")
         if frontier.isEmpty():
             break
+    else:
+        raise RuntimeError(f"cells are left to relax after {max_rounds} rounds")
     return known
 
 

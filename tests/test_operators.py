@@ -275,6 +275,18 @@ def test_array_edits(spark):
     assert [list(x) for x in got] == [[1, 9, 2, 3], [2, 3], [3, 2]]
 
 
+def test_rounds_that_do_not_suffice_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)], "src long, dst long, weight double")
+    start = spark.range(1)
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        graph.distances(chain, start, max_rounds=2)
+    assert graph.distances(chain, start, max_rounds=5).count() == graph.distances(chain, start).count() == 5
+    line = spark.createDataFrame([(i, 0, 1.0, False) for i in range(5)], "q int, r int, enter_cost double, blocked boolean")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        grids.hex_costs(line, (0, 0), max_rounds=2)
+    assert grids.hex_costs(line, (0, 0)).count() == 5
+
+
 def test_streams_count_late_files(spark, tmp_path):
     """Files out of time order, one or three a batch: as if all were one."""
     from tessera.streaming import feeds
