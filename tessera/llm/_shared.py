@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -33,11 +34,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **changes: str):
+    """Session settings (dots written as two underscores) for the time of an action; the caller's come back."""
+    names = {k.replace("__", "."): v for k, v in changes.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker while a scratch table is written.
+BATCH_BYTES = 4 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: later reads survive lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back: later reads survive lost executors.
+
+    Shuffle files of the write go as soon as it ends, and Arrow batches are bounded by bytes, not by rows.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES)):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -101,6 +127,19 @@ def unpacked(sent):
     return cloudpickle.loads(sent.value)
 
 
+def chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Runs of texts of some ``most`` characters, one text at least."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch (texts may be long), unless the session already asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -108,6 +147,10 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+def utf8(text: str | bytes | None) -> bytes:
+    return b"" if text is None else text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)
+
+
 def words(text: str | None) -> list[bytes]:
     """``[^\\x20\\x09-\\x0D]+`` of the text in UTF-8; bytes.split() cuts at exactly these six bytes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -167,11 +210,11 @@ class Words(NamedTuple):
         return np.cumsum(self.sizes) - self.sizes
 
 
-def hashed_words(texts: Iterable[str | None], lower: bool = False, most: int = 1 << 20) -> Iterator[tuple[int, Words]]:
+def hashed_words(texts: Iterable[str | bytes | None], lower: bool = False, most: int = 1 << 20) -> Iterator[tuple[int, Words]]:
     """Runs of texts of some ``most`` bytes: the index of the first text, and the words. ``lower`` lower-cases A-Z."""
     first, held, size = 0, [], 0
     for n, t in enumerate(texts):
-        b = t.encode("utf-8", "surrogatepass") if t else b""
+        b = utf8(t)
         if held and size + len(b) > most:
             yield first, _hashed(held, lower)
             first, held, size = n, [], 0
