@@ -9,9 +9,10 @@ its automaton for matching statistics, counting copies. Where a factor of at lea
 its windows are marked; marks return to all occurrences of the passage, and the maximal covered spans are removed.
 
 Automata of the whole reference are not broadcast: the reference grows with the corpus, and each document would have to
-be streamed through each shard. Shards are met by anchor instead. An anchor with more distinct passages than ``crowd`` (a
-phrase set in ever different surroundings) has no bounded shard; its windows are counted by 128-bit fingerprints, which
-split such a group as finely as its texts differ.
+be streamed through each shard. Shards are met by anchor instead, so that a document meets only the shards its passages
+name. An anchor with more distinct passages than ``crowd`` (a phrase set in ever different surroundings) would make a shard
+without bound; the passages of such anchors are reference and documents of a finer round, whose anchors are twice as long.
+Where the anchor is the whole window, a shard is one window, so the rounds end, and each marks by automata.
 
 Rows are told apart by id and text hash, so repeated ids do no harm; repeated rows are occurrences of each other. Null and
 short texts have no windows and are kept whole. Empty tables give no rows. Other columns pass through; new columns are
@@ -27,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import BASE, OTHER, Scratch, hashed_words, maybe_among, mix, range_hash, release, small_batches, words
+from tessera.llm._shared import BASE, OTHER, Scratch, discard, hashed_words, maybe_among, mix, range_hash, words
 from tessera.llm.suffix import SuffixAutomaton
 
 LENGTH, GRAM = 35, 12
 #: Distinct passages of one anchor that a shard may hold, and words of the passages that make one automaton.
-CROWD, SHARD_WORDS = 1024, 20_000
+CROWD, SHARD_WORDS = 256, 20_000
 
 _BITS = np.uint64(26)  # of a word's position in a chunk of texts
 
@@ -89,10 +90,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _find(length: int, gram: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d, th = b["_d"].to_numpy(np.int64), b["_th"].to_numpy(np.int64)
+            d, th, copies = (b[c].to_numpy(np.int64) for c in ("_d", "_th", "copies"))
             for first, w in hashed_words(b["text"]):
                 text, lo, _, anchor, content = passages(w.hash, w.sizes, length, gram)
-                yield pd.DataFrame({"a": _signed(anchor), "c": _signed(content), "_d": d[first + text], "_th": th[first + text], "lo": (lo - w.first[text]).astype(np.int32)})
+                yield pd.DataFrame({"a": _signed(anchor), "c": _signed(content), "_d": d[first + text], "_th": th[first + text], "copies": copies[first + text], "lo": (lo - w.first[text]).astype(np.int32)})
 
     return find
 
@@ -143,62 +144,40 @@ def _match(length: int, shard_words: int):
     return match
 
 
-def _windows(length: int):
-    """Every window of a passage: two fingerprints, with the passage's copies."""
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = list(b[["a", "c", "n"]].itertuples(index=False))
-            for first, w in hashed_words([bytes(p).decode("utf-8", "surrogatepass") for p in b["passage"]]):
-                counts = w.sizes - length + 1
-                text = np.repeat(np.arange(len(counts)), counts)
-                at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-                lo = w.first[text] + at
-                a, c, n = (np.array([r[i] for r in rows[first : first + len(counts)]], dtype=np.int64)[text] for i in range(3))
-                yield pd.DataFrame({"w": _signed(range_hash(w.hash, lo, lo + length)), "x": _signed(range_hash(w.hash, lo, lo + length, OTHER)), "a": a, "c": c, "n": n, "at": at.astype(np.int32)})
-
-    return explode
-
-
 def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """_d, _th, starts: the first words of the repeated windows of each row that has some. ``df``: _d, _th, text."""
-    spark = df.sparkSession
-    small_batches(spark)
+    """_d, _th, starts: the first words of the repeated windows of each row that has some.
+
+    ``df``: _d, _th, text (string or its UTF-8), copies (how many rows of the same text a row stands for).
+    """
     scratch = Scratch()
-    found = scratch.written(df.select("_d", "_th", "text").mapInPandas(_find(length, gram), "a long, c long, _d long, _th long, lo int"), "passages")
+    found = scratch.written(df.select("_d", "_th", "copies", "text").mapInPandas(_find(length, gram), "a long, c long, _d long, _th long, copies long, lo int"), "passages")
     # Written apart: a join of two fresh exchanges is one whose hot keys Spark can split.
-    again = scratch.written(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors-repeated")
+    again = scratch.written(found.groupBy("a").agg(F.sum("copies").alias("n")).where("n > 1").select("a"), "anchors-repeated")
     met = scratch.written(found.join(again, "a"), "passages-met")
     scratch.clear(met)
-    del found, again
-    distinct = scratch.written(met.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_th", "lo")).alias("at")), "passages-distinct")
-    release(spark)
+    distinct = scratch.written(met.groupBy("a", "c").agg(F.sum("copies").alias("n"), F.min(F.struct("_d", "_th", "lo")).alias("at")), "passages-distinct")
     asked = distinct.select("at._d", "at._th", F.struct("at.lo", "n").alias("one")).groupBy("_d", "_th").agg(F.collect_set("one").alias("asked"))
-    # Rows that repeat an id and its text are asked alike; one of them sends the passages.
+    # Rows that repeat an id and its text send the same passages, each of which has copies then anyway.
     asked = asked.select("_d", "_th", F.col("asked.lo").alias("at"), F.col("asked.n").alias("n"))
     asked = scratch.written(asked, "passages-asked")
     sent = maybe_among(df, asked, ["_d", "_th"]).join(asked, ["_d", "_th"]).select("text", "at", "n").mapInPandas(_fetch(length, gram), "a long, c long, n long, passage binary")
-    crowded = distinct.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("a")
-    crowded = scratch.written(crowded, "anchors-crowded")
-    marks = "a long, c long, windows array<int>"
-    if crowded.isEmpty():
-        small = sent
-        verdicts = None
-    else:
-        sent = scratch.written(sent, "passages-sent")
-        small = sent.join(crowded, "a", "left_anti")
-        cells = sent.join(crowded, "a", "left_semi").mapInPandas(_windows(length), "w long, x long, a long, c long, n long, at int")
-        twice = cells.groupBy("w", "x").agg(F.sum("n").alias("copies")).where("copies > 1").select("w", "x")
-        twice = scratch.written(twice, "windows-repeated")
-        verdicts = cells.join(twice, ["w", "x"]).groupBy("a", "c").agg(F.collect_set("at").alias("windows"))
-    by_shard = small.repartition("a").sortWithinPartitions("a", "c").mapInPandas(_match(length, shard_words), marks)
-    verdicts = scratch.written(by_shard if verdicts is None else by_shard.unionByName(verdicts), "passages-marked")
-    release(spark)
-    starts = met.join(verdicts, ["a", "c"]).select("_d", "_th", F.transform("windows", lambda w: w + F.col("lo")).alias("s"))
+    sent = scratch.written(sent, "passages-sent")
+    small, finer = sent, None
+    if gram < length:  # else a shard is one window
+        crowded = scratch.written(distinct.groupBy("a").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("a"), "anchors-crowded")
+        if not crowded.isEmpty():
+            small, hot = sent.join(crowded, "a", "left_anti"), sent.join(crowded, "a", "left_semi")
+            hot = hot.select(F.col("a").alias("_d"), F.col("c").alias("_th"), F.col("passage").alias("text"), F.col("n").alias("copies"))
+            finer = repeated_windows(hot, length, min(2 * gram, length), crowd, shard_words)
+    marks = small.repartition("a").sortWithinPartitions("a", "c").mapInPandas(_match(length, shard_words), "a long, c long, windows array<int>")
+    if finer is not None:
+        marks = marks.unionByName(finer.select(F.col("_d").alias("a"), F.col("_th").alias("c"), F.col("starts").alias("windows")))
+    marks = scratch.written(marks, "passages-marked")
+    if finer is not None:
+        discard(finer)
+    starts = met.join(marks, ["a", "c"]).select("_d", "_th", F.transform("windows", lambda w: w + F.col("lo")).alias("s"))
     starts = scratch.written(starts.groupBy("_d", "_th").agg(F.flatten(F.collect_set("s")).alias("starts")), "passages-starts")
     scratch.clear(starts)
-    del met, verdicts, small, sent, by_shard
-    release(spark)
     return starts
 
 
@@ -227,6 +206,6 @@ def deduplicate(df: DataFrame, id_: str = "doc_id", text: str = "text", length:
     """``df`` with n_words, n_removed and kept."""
     d, th, at = "_tessera_d", "_tessera_th", "_tessera_starts"  # apart from columns that pass through
     keyed = df.drop("n_words", "n_removed", "kept").withColumns({d: F.coalesce(F.col(id_).cast("long"), F.lit(0)), th: F.xxhash64(F.col(text))})
-    starts = repeated_windows(keyed.select(F.col(d).alias("_d"), F.col(th).alias("_th"), F.col(text).alias("text")), length, gram, crowd, shard_words)
+    starts = repeated_windows(keyed.select(F.col(d).alias("_d"), F.col(th).alias("_th"), F.col(text).alias("text"), F.lit(1).cast("long").alias("copies")), length, gram, crowd, shard_words)
     got = keyed.join(starts.withColumnsRenamed({"_d": d, "_th": th, "starts": at}), [d, th], "left").withColumn("_tessera_kept", _keep(length)(F.col(text), F.col(at)))
     return got.withColumns({x: F.col(f"_tessera_kept.{x}") for x in ("n_words", "n_removed", "kept")}).drop(d, th, at, "_tessera_kept")
