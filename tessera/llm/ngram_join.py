@@ -2,17 +2,18 @@
 
 A document's set holds the distinct shingles of its words. Documents of equal sets are one class from the start. Two sets of
 Jaccard similarity t share a token among the first n - ceil(t n) + 1 tokens of each under *any* global order of tokens, so a
-candidate pair must share prefix tokens under every order tried: pairs that meet under the first order are intersected with
-the prefixes of the others before their texts are compared exactly. In every order frequent tokens (found by lossy counting
-over all documents, the most frequent kept in a bounded table) come last, each order shuffling tokens of like frequency by a
-hash of its own, so that passages which many documents share seldom stand in a prefix.
+candidate pair must share prefix tokens under every order tried: the filters of all orders are intersected before sets are
+compared exactly. In every order frequent tokens (found by lossy counting over all documents, the most frequent kept in a
+bounded table) come last, each order shuffling tokens of like frequency by a hash of its own, so that passages which many
+documents share seldom stand in a prefix.
 
 Pairs inside a group that is already known to be linked add nothing to it, and near copies come in groups. So groups come
-first: classes that agree in a least hash (one of four) form a bucket, and a bucket of bounded size is decided in full by one
-task, all pairs by bit sets, which gives back only links that span its linked parts. Buckets beyond the bound are compared
-with one pivot, the class of fewest rare tokens. What is left are pairs of different components that no bucket has decided:
-prefix tokens that meet in two or more components are joined, with the bound that token positions put on the overlap, and
-every pair that passes all orders is verified. Groups are exact; no pair is left out for the size of its group.
+first: classes that agree in a least hash (one of four) form a bucket, buckets are cut into blocks of a bounded number of
+classes and shingles, and each pair of blocks is a group of rows of its own. There the prefixes under all orders make the
+candidates, those not yet linked are compared by bit sets, and what spans the linked parts comes back. Buckets beyond a bound
+are compared with one pivot, the class of fewest rare tokens. What is left are pairs of different components that no bucket
+has met: prefix tokens that occur in two or more components are joined, with the bound that token positions put on the
+overlap, and every pair that passes all orders is verified. Groups are exact; no pair is left out for the size of its group.
 
 Defined results: null and word-less texts have empty sets, link with nothing and form groups of their own. A text of fewer
 words than a shingle has one shingle, the whole. Repeated rows are one class. The id of a group is its smallest id; null ids
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType
 
-from tessera.llm._shared import Scratch, discard, hashed_words, maybe_among, mix, range_hash, release, small_batches, written
+from tessera.llm._shared import Scratch, discard, hashed_words, maybe_among, mix, range_hash, written
 
 SHINGLE, PERCENT = 3, 90
 #: Global token orders that a pair must pass.
@@ -41,8 +42,9 @@ FREQUENT, SHARE = 65_536, 0.002
 BINS, STARS, AGREE = 32, 4, 0.75
 #: Least agreement with the pivot of a bucket for a class to be decided in it.
 LIKE = 0.25
-#: Classes and shingles of a bucket that one task decides.
+#: Classes and shingles of a bucket that is decided pair by pair of its blocks, and of a block.
 BUCKET, BUCKET_SHINGLES = 4096, 2_000_000
+BLOCK, BLOCK_SHINGLES = 200, 200_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,71 +184,117 @@ def _linked(k: int, percent: int):
     return linked
 
 
-def spanning(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (indexes of sets) that join what is similar enough, directly or through others; all pairs are compared.
-
-    Tokens of two or more sets become bits, so a pair costs one AND and one count over words of 64 bits.
+class Bits:
+    """Sets as rows of bits over the tokens that two or more of them hold."""
+
+    def __init__(self, sets: list[np.ndarray], most: int = 1 << 26):
+        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+        met = np.bincount(at, minlength=len(tokens)) > 1
+        column = np.cumsum(met) - 1
+        width = -(-int(met.sum()) // 64)
+        ends = np.cumsum([len(s) for s in sets])
+        self.rows = np.zeros((len(sets), width), np.uint64)
+        step = max(1, most // max(1, width * 64))  # rows unpacked at a time
+        for lo in range(0, len(sets) if width else 0, step):
+            part = slice(ends[lo] - len(sets[lo]), ends[min(lo + step, len(sets)) - 1])
+            row = np.repeat(np.arange(len(sets[lo : lo + step])), [len(s) for s in sets[lo : lo + step]])
+            own = met[at[part]]
+            bits = np.zeros((len(sets[lo : lo + step]), width * 64), np.uint8)
+            bits[row[own], column[at[part][own]]] = 1
+            self.rows[lo : lo + step] = np.packbits(bits, axis=1).view(np.uint64)
+
+    def shared(self, i: int, js: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.rows[js] & self.rows[i]).sum(axis=1, dtype=np.int64)
+
+    def meet(self, i: int, js: np.ndarray) -> np.ndarray:
+        return (self.rows[js] & self.rows[i]).any(axis=1)
+
+
+def prefixes(sets: list[np.ndarray], percent: int, common: np.ndarray, level: np.ndarray, orders: int = ORDERS) -> list[list[np.ndarray]]:
+    """For each global order the prefix of each set, as places in that order."""
+    flat = np.concatenate(sets)
+    ends, lev = np.cumsum([len(s) for s in sets]).tolist(), levels(flat, common, level)
+    out = []
+    for order in range(orders):
+        keys = order_keys(flat, order, lev)
+        own = []
+        for s, end in zip(sets, ends, strict=True):
+            p = min(len(s), prefix_length(len(s), percent))
+            own.append(np.partition(keys[end - len(s) : end], p - 1)[:p])
+        out.append(own)
+    return out
+
+
+def spanning(sets: list[np.ndarray], percent: int, common: np.ndarray, level: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (indexes of non-empty sets: a member, the least member) of the parts that similar pairs make.
+
+    A pair is a candidate if its prefixes meet under every order; candidates not yet linked are compared in full. With ``side``
+    only pairs of different sides count.
     """
-    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-    df = np.bincount(at)
-    column = np.cumsum(df > 1) - 1
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets = [sets[i] for i in order]
+    side = None if side is None else side[order]
     sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    width = -(-int((df > 1).sum()) // 64)
-    bits = np.zeros((len(sets), width * 64), np.uint8) if width else np.zeros((len(sets), 0), np.uint8)
-    if len(sets) * width * 64 <= 1 << 27:
-        row = np.repeat(np.arange(len(sets)), sizes)
-        keep = df[at] > 1
-        bits[row[keep], column[at[keep]]] = 1
-        packed = np.packbits(bits, axis=1).view(np.uint64)
-    else:  # row by row: the unpacked table would be large
-        ends = np.cumsum(sizes)
-        packed = np.empty((len(sets), width), np.uint64)
-        for i, (e, n) in enumerate(zip(ends, sizes, strict=True)):
-            one, own = np.zeros(width * 64, np.uint8), at[e - n : e]
-            one[column[own[df[own] > 1]]] = 1
-            packed[i] = np.packbits(one).view(np.uint64)
-    packed, sizes = packed[order], sizes[order]
+    filters = [Bits(p) for p in prefixes(sets, percent, common, level)]
+    whole = Bits(sets)
     root = np.arange(len(sets))
-    links = []
     for i in range(len(sets) - 1):
-        end = np.searchsorted(sizes, sizes[i] * 100 // percent, "right")
-        js = np.arange(i + 1, end)
+        js = np.arange(i + 1, np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
         js = js[root[js] != root[i]]
+        if side is not None:
+            js = js[side[js] != side[i]]
+        for f in filters:
+            if len(js):
+                js = js[f.meet(i, js)]
         if not len(js):
             continue
-        both = np.bitwise_count(packed[js] & packed[i]).sum(axis=1, dtype=np.int64)
+        both = whole.shared(i, js)
         for j in js[100 * both >= percent * (sizes[js] + sizes[i] - both)].tolist():
             if root[j] != root[i]:
-                links.append((int(order[i]), int(order[j])))
                 root[root == root[j]] = root[i]
-    return links
+    least = {}
+    for r, i in zip(root.tolist(), order.tolist(), strict=True):
+        least[r] = min(i, least.get(r, i))
+    return [(i, least[r]) for r, i in zip(root.tolist(), order.tolist(), strict=True) if least[r] != i]
+
 
+def _sets(k: int):
+    """Shingles of texts as bytes, once for all the blocks that a class goes to."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                part = b[lo : lo + 256]
+                yield pd.DataFrame({"node": part["node"], "done": part["done"], "set": [s.tobytes() for s in shingles(part["text"], k)]})
 
-def _decide(k: int, percent: int):
-    """Buckets, sorted, one after the other: the links that span each."""
+    return packed
+
+
+def _decide(percent: int, common: np.ndarray, level: np.ndarray):
+    """Pairs of blocks, sorted, one after the other: the links that span each. A class stands once in a pair of blocks."""
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(nodes: list[int], texts: list[str]) -> pd.DataFrame:
-            found = spanning(list(shingles(texts, k)), percent)
-            return pd.DataFrame([(max(nodes[a], nodes[b]), min(nodes[a], nodes[b])) for a, b in found], columns=["x", "y"])
+        def links(key: tuple, nodes: list[int], blocks: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+            side = None if key[1] == key[2] else np.array(blocks)
+            found = spanning(sets, percent, common, level, side)
+            return pd.DataFrame([(nodes[a], nodes[b]) for a, b in found], columns=["x", "y"])
 
-        bucket, nodes, texts = None, [], []
+        at, nodes, blocks, sets = None, [], [], []
         for b in batches:
-            for key, node, text in zip(b["bucket"], b["node"].tolist(), b["text"], strict=True):
-                if key != bucket:
+            for *key, block, node, packed in zip(*(b[c].tolist() for c in ("bucket", "i", "j", "block", "node")), b["set"], strict=True):
+                if key != at:
                     if len(nodes) > 1:
-                        yield links(nodes, texts)
-                    bucket, nodes, texts = key, [], []
+                        yield links(at, nodes, blocks, sets)
+                    at, nodes, blocks, sets = key, [], [], []
                 if not nodes or nodes[-1] != node:
-                    nodes.append(node), texts.append(text)
+                    nodes.append(node), blocks.append(block), sets.append(np.frombuffer(bytes(packed), np.uint64))
         if len(nodes) > 1:
-            yield links(nodes, texts)
+            yield links(at, nodes, blocks, sets)
 
     return decide
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, written=written) -> DataFrame:
     """node, component (the least node reachable) for every node of the edges x, y; alternating large and small stars."""
     now = written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "links")
     mark = None
@@ -267,27 +315,34 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, share: float = SHARE, frequent: int = FREQUENT, bucket: int = BUCKET, bucket_shingles: int = BUCKET_SHINGLES, rows_apart: bool = False) -> DataFrame:
+def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, share: float = SHARE, frequent: int = FREQUENT, bucket: int = BUCKET, bucket_shingles: int = BUCKET_SHINGLES, block: int = BLOCK, rows_apart: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; with ``rows_apart`` also text_hash (xxhash64) and group, which no null id hides."""
     spark = df.sparkSession
-    small_batches(spark)
     scratch = Scratch()
     written = scratch.written
     texts = df.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = texts.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_th": F.xxhash64("text")})
     heavy = texts.select("text").mapInPandas(_frequent(shingle, share), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = heavy.orderBy(F.desc("n"), "token").limit(frequent).collect()  # bounded by ``frequent``
+    heavy = written(heavy.select("token", F.least(F.length(F.bin("n")), F.lit(63)).alias("level")), "join-heavy")
+    # The highest levels of frequency that fit the table as wholes: at most 63 rows tell which, and ``frequent`` rows are collected.
+    total, least = 0, 64
+    for r in sorted(heavy.groupBy("level").count().collect(), key=lambda r: -r.level):
+        total += r["count"]
+        if total > frequent:
+            break
+        least = r.level
+    rows = heavy.where(F.col("level") >= least).collect()
     common = np.array([r.token for r in rows], dtype=np.int64).view(np.uint64)
-    level = np.array([min(63, int(r.n).bit_length()) for r in rows], dtype=np.uint64)
+    level = np.array([r.level for r in rows], dtype=np.uint64)
     by_token = np.argsort(common)
-    signs = texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_signs(shingle, percent, common[by_token], level[by_token]), SIGNS)
+    common, level = common[by_token], level[by_token]
+    signs = texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(_signs(shingle, percent, common, level), SIGNS)
     signs = written(signs, "join-signs")
     reps = written(signs.where("n > 0").groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "join-classes")
     nodes = written(signs.drop("class", "doc_id").join(reps.select("node").hint("merge"), F.col("row") == F.col("node")).drop("row"), "join-nodes")
     members = written(signs.select("doc_id", "n", "class", *(["_th"] if rows_apart else [])), "join-members")
     scratch.clear(reps, nodes, members)
     del heavy, signs
-    release(spark)
     where = nodes.select("node", "_d", "_th")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -302,7 +357,6 @@ def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int
         links = pairs.join(x, "x").join(y, "y").where(_linked(shingle, percent)(F.col("tx"), F.col("ty"))).select("x", "y")
         links = written(links, "join-links")
         del got, fetched, x, y
-        release(spark)
         return links
 
     # Buckets of two or more classes; those within the bound are decided in full.
@@ -319,30 +373,38 @@ def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int
     over = sizes.select(F.col("bucket").alias("o"), F.col("m").alias("om")).where("fits")
     inside = sizes.select("bucket", "m", F.explode("shared").alias("o")).where("o <> bucket").join(over, "o").where("om > m OR om = m AND o < bucket")
     whole = sizes.where("fits").join(inside.select("bucket").distinct(), "bucket", "left_anti").select("bucket")
-    decided = stars.select("node", "bucket").join(written(whole, "join-whole"), "bucket")
-    mine = written(decided.groupBy("node").agg(F.collect_set("bucket").alias("done")).join(where, "node"), "join-done")  # four at most
-    send = maybe_among(texts.select("_d", "_th", "text"), mine, ["_d", "_th"]).join(mine, ["_d", "_th"]).select("node", "text", F.explode("done").alias("bucket"))
-    links = written(send.repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(_decide(shingle, percent), "x long, y long"), "join-links")
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("sum") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    whole = written(sizes.where("fits").join(inside.select("bucket").distinct(), "bucket", "left_anti").select("bucket", blocks), "join-whole")
+    decided = stars.select("node", "bucket").join(whole, "bucket")
+    mine = decided.groupBy("node").agg(F.collect_set(F.struct("bucket", "blocks")).alias("done")).join(where, "node")  # four at most
+    mine = written(mine, "join-done")
+    sets = maybe_among(texts.select("_d", "_th", "text"), mine, ["_d", "_th"]).join(mine, ["_d", "_th"]).select("node", "done", "text")
+    sets = written(sets.mapInPandas(_sets(shingle), "node long, done array<struct<bucket:long,blocks:int>>, set binary"), "join-sets")
+    send = sets.select("node", "set", F.explode("done").alias("one")).select("node", "set", "one.*")
+    send = send.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    send = send.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    send = send.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "set")
+    links = send.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInPandas(_decide(percent, common, level), "x long, y long")
+    links = written(links, "join-links")
+    discard(sets)
+    mine = mine.withColumn("done", F.col("done.bucket"))
     del send, decided, whole, inside, over
-    release(spark)
     large = sizes.where("not fits").select("bucket")
     if not large.isEmpty():
         near = written(stars.select("node", "bucket").join(large, "bucket").join(nodes.select("node", "n", "low", "rare"), "node"), "join-large")
         pivot = near.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "low"), F.struct("rare", F.xxhash64("node", "bucket"))).alias("p"))
         near = near.join(written(pivot, "join-pivots"), "bucket").where((F.col("node") != F.col("p.node")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
         links = links.union(verified(near.where(_agreement(F.col("low"), F.col("p.low")) >= AGREE).select(F.col("node").alias("x"), F.col("p.node").alias("y")).distinct()))
-    joined = scratch.written(_joined(nodes, links), "join-components")
+    joined = scratch.written(_joined(nodes, links, written), "join-components")
     tokens = nodes.select("node", "n", F.posexplode(_tokens("prefix")).alias("i", "token"))
     met = written(tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "join-met")
     shared = written(tokens.join(met.hint("merge"), "token"), "join-shared")
     del tokens
-    release(spark)
     placed = written(shared.join(joined, "node").join(mine.select("node", "done"), "node", "left"), "join-placed")
     discard(shared)
     crossing = written(placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token"), "join-tokens")
     left = written(placed.join(crossing.hint("merge"), "token"), "join-crossing")
     discard(placed)
-    release(spark)
     a, b = left.alias("a"), left.alias("b")
     size = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
     # If this is the first token they share, no more than what follows it can be shared.
@@ -351,25 +413,23 @@ def groups(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int
     pairs = a.join(b, F.col("a.token") == F.col("b.token")).where((F.col("a.node") < F.col("b.node")) & apart & size & place)
     pairs = written(pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct(), "join-candidates")
     discard(left)
-    release(spark)
     ends = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
     end = written(maybe_among(nodes.select("node", "n", "others"), ends, ["node"]).join(ends, "node"), "join-ends")
     x, y = (end.select(F.col("node").alias(c), F.struct("n", "others").alias(f"p{c}")) for c in "xy")
     pairs = pairs.join(x, "x").join(y, "y").where(_meet(percent)(F.col("px.n"), F.col("px.others"), F.col("py.n"), F.col("py.others"))).select("x", "y")
     links = links.union(verified(pairs))
-    joined = scratch.written(_joined(nodes, links), "join-components")
+    joined = scratch.written(_joined(nodes, links, written), "join-components")
     lows = reps.select("node", "low").join(joined, "node")
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
     by_class = reps.select("class", "node").join(joined, "node").join(least, "component").select("class", "component_id", "component")
     by_class = written(by_class, "join-groups")
     scratch.clear(members, by_class)
     del reps, nodes, joined, lows, least, left, a, b, x, y, ends, end, pairs, links, mine, stars, sizes, shared, placed
-    release(spark)
     out = members.withColumnRenamed("n", "n_shingles").join(by_class, "class", "left")
     more = [F.col("_th").alias("text_hash"), F.col("component").alias("group")] if rows_apart else []
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
-def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(nodes: DataFrame, links: DataFrame, written=written) -> DataFrame:
     """node, component for all nodes."""
-    return nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.select("node").join(components(links, written), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
