@@ -53,9 +53,11 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     if total is None:
         return _empty(rows, key)
     count = min(max(ranges, -(-total // range_bytes)), MOST_RANGES)
-    # A weighted draw without replacement: the largest u^(1/size), which are the smallest -ln(u)/size.
-    u = (F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = sorted(r.k for r in rows.where("k is not null").orderBy(-F.log(u) / F.col("size"), "k").limit(max(sample, 4 * count)).select("k").collect())
+    # A weighted draw: -ln(u)/size is the row's first arrival at a rate of its size, and those before the time at which
+    # ``sample`` arrivals are expected of all bytes are drawn, so that the driver gets some ``sample`` keys, whatever the input.
+    u = (F.pmod(F.xxhash64("tie", "salt"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    early = -F.log(u) / F.col("size") <= F.lit(max(sample, 4 * count) / total)
+    drawn = sorted(r.k for r in rows.where(F.col("k").isNotNull() & early).select("k").collect())
     bounds = sorted({drawn[i * len(drawn) // count] for i in range(1, count)}) if drawn else []
     rows = rows.withColumn("range", F.when(F.col("k").isNull(), -1).otherwise(_step(F.col("k"), bounds)))
     per = rows.groupBy("range").agg(F.sum("size").alias("bytes")).collect()
