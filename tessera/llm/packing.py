@@ -1,10 +1,11 @@
 """Best-fit packing by hierarchical residual rounds.
 
 Each partition packs its own pieces best-fit, longest first, and emits bins that are nearly full. Bins that are not travel
-on as items: groups of a bounded number of them are packed best-fit again, round after round, and each round's groups
-merge several groups of the one before, until one group holds them all or another round would not help. A bin carries its
-pieces as packed bytes (at most ``capacity`` pieces), so no piece is looked up again. Groups are dealt by a hash and sorted
-before they are packed, and each round is written, so a task that runs twice gives the same bins.
+on as items: they are dealt anew into groups of some ``group`` bins, which are packed best-fit again, round after round, as
+long as a round merges enough of them. Groups keep their size and grow fewer with the bins, until one holds them all; where
+rounds end with more bins than that, the emptiest of them, as many as one group holds, are packed together once more. A bin
+carries its pieces as packed bytes (at most ``capacity`` pieces), so no piece is looked up again. Groups are dealt by a hash
+and sorted before they are packed, and each round is written, so a task that runs twice gives the same bins.
 
 Nulls: a null text is an empty document: one piece, the end mark. Empty tables give no rows; repeated rows and equal
 doc_ids are packed as rows of their own. Columns beside id and text are ignored.
@@ -24,15 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import small_batches, written
+from tessera.llm._shared import written
 
 CAPACITY, END = 1024, 2
 #: A bin with so few free places is emitted at once.
 SLACK = 2
 #: Bins of one group of a later round.
 GROUP = 4096
-#: Groups that merge into one from a round to the next.
-FAN = 8
+#: A round merges enough if it leaves at most this share of the bins.
+HELPS = 0.98
 
 _PIECE = np.dtype([("row", "<i8"), ("doc", "<i8"), ("has", "<i4"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "bin long, fill int, pieces binary, done boolean"
@@ -129,10 +130,8 @@ def _packed(items: list[tuple[int, bytes]], capacity: int, slack: int, base: int
     return pd.DataFrame(out, columns=["bin", "fill", "pieces", "done"])
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, slack: int = SLACK, group: int = GROUP, fan: int = FAN) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, slack: int = SLACK, group: int = GROUP) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = df.sparkSession
-    small_batches(spark)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -168,25 +167,29 @@ def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "t
 
     rows = df.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bins = written(rows.mapInPandas(local, BINS), "packing-0")
-    done, level = [bins.where("done")], 0
-    left = bins.where("not done")
-    count, groups = left.count(), 0
-    while count > 1:
+    done, left, level, helps = [bins.where("done")], bins.where("not done"), 0, True
+    count = left.count()
+    while count > 1 and helps:
         level += 1
-        wanted = -(-count // group)
-        groups = wanted if not groups else max(1, min(wanted, groups // fan))
-        if groups > wanted * fan:
-            groups = wanted
+        groups = -(-count // group)
         packed = written(_round(left, groups, level, capacity, slack), f"packing-{level}")
         done.append(packed.where("done"))
         left = packed.where("not done")
         before, count = count, left.count()
-        if groups == 1 or count * fan * group > before * fan * group * 0.98 and level > 1:
-            break
-    done.append(left)
-    all_bins = done[0].withColumn("level", F.lit(0))
-    for n, d in enumerate(done[1:], 1):
-        all_bins = all_bins.unionByName(d.withColumn("level", F.lit(n)))
+        helps = groups > 1 and count <= before * HELPS
+    if count > group:
+        bound = _emptiest(left, group)
+        if bound is not None:
+            level += 1
+            packed = written(_round(left.where(F.col("fill") <= bound), 1, level, capacity, slack), f"packing-{level}")
+            done += [left.where(F.col("fill") > bound).withColumn("_level", F.lit(level - 1)), packed]
+            left = None
+    if left is not None:
+        done.append(left.withColumn("_level", F.lit(level)))
+    all_bins = None
+    for n, d in enumerate(done):
+        d = d.select("bin", "pieces", (F.col("_level") if "_level" in d.columns else F.lit(n)).alias("level"))
+        all_bins = d if all_bins is None else all_bins.unionByName(d)
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -208,6 +211,17 @@ def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "t
     return all_bins.select("level", "bin", "pieces").mapInPandas(opened, PIECES)
 
 
+def _emptiest(left: DataFrame, group: int) -> int | None:
+    """The greatest fill up to which there are no more than ``group`` bins; a row for each fill is all that is collected."""
+    bound, total = None, 0
+    for r in sorted(left.groupBy("fill").count().collect()):
+        total += r["count"]
+        if total > group:
+            break
+        bound = r.fill
+    return bound
+
+
 def _round(left: DataFrame, groups: int, level: int, capacity: int, slack: int) -> DataFrame:
     """Deal the underfull bins into groups by a hash, and pack each group."""
 
