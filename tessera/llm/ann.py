@@ -1,18 +1,20 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-A row's hash string in one tree is the signs of many random projections of its centred vector, as one unsigned number.
-Rows are cut into blocks of a bounded number; in a block each tree is the sorted array of its strings. A query descends
-every tree to its longest matching prefix, and then ascends all trees together, one bit at a time, until the rows that
-share the prefix in some tree are enough; every one of them is then measured exactly, whatever their number (a group of
-near copies shares long prefixes, and no cap cuts it off). Queries are a stated set, handled in blocks too, each small
-enough to broadcast; a block of rows keeps its k best of each query, so k rows a query and block are all that is shuffled.
-
-In data without structure (independent directions in many dimensions) prefixes of near and far pairs hardly differ, so
-recall needs a large ``share`` of the rows; in clustered data the prefixes end inside the cluster, and ``share`` can be low.
-
-Vectors that are null, zero, of another length than ``dims``, or hold null or non-finite components take no part, nor do
-rows without an id. Rows with the query's own id are not its candidates. Rows that repeat an id count once each. Ties go to
-the smaller id. Empty tables give no rows.
+A row's hash bits are the signs of ``pool`` projections of its centred vector; a tree's hash string is ``bits`` of them in the
+tree's own order, as one unsigned number. Rows are cut into blocks of a bounded number; in a block each tree is the sorted
+array of its strings. A query descends every tree to its longest matching prefix, and then ascends all trees together, one bit
+at a time. At each depth it meets the rows that share the prefix in some tree, until ``reach`` times as many rows are met as
+are wanted; the wanted ones are those met most often, over trees and depths, and all that tie with the last of them, so that
+no group of copies is cut. They are measured exactly, and the block keeps its k best of each query, which is all that is
+shuffled. Queries are a stated set, handled in blocks too, each small enough to broadcast, one after the other; each result
+is written and its broadcast dropped before the next.
+
+``share`` of a block's rows (``least`` at least) are wanted. In data without structure (independent directions in many
+dimensions) near and far rows differ in few bits, and this share is what recall takes; in clustered data it can be lower.
+
+Vectors that are null, zero, of another length than ``dims`` (else the most frequent length), or hold null or non-finite
+components take no part, nor do rows without an id. Rows with the query's own id are not its candidates. Rows that repeat an
+id count once each. Ties go to the smaller id. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import small_batches
+from tessera.llm._shared import written
 
-TREES, BITS = 20, 48
-#: Candidates to gather, as a share of a block's rows, and at least.
-SHARE, LEAST = 0.6, 2048
+TREES, BITS, POOL = 160, 24, 512
+#: Rows to be measured, as a share of a block's rows, and at least; rows to be met, as a multiple of them.
+SHARE, LEAST, REACH = 0.22, 200, 4
 #: Rows of a block of the index, and queries of a block that is broadcast (64 components: 4 MB).
 BLOCK, QUERIES = 8192, 8192
 NEIGHBOURS = "query_id long, vec_id long, score double"
+RANKED = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vector: Column) -> Column:
@@ -41,84 +44,98 @@ def usable(vector: Column) -> Column:
     return F.coalesce(good & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-class Forest:
-    """Sorted arrays of hash strings over the rows of one block."""
+class Hashes:
+    """The projections, and which of their signs each tree reads in which order."""
 
-    def __init__(self, vectors: np.ndarray, planes: np.ndarray, centre: np.ndarray):
-        self.planes, self.centre = planes, centre
-        keys = self.strings(vectors)
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(keys, self.order, axis=1)
+    def __init__(self, centre: np.ndarray, trees: int = TREES, bits: int = BITS, pool: int = POOL, seed: int = 7):
+        rng, dims = np.random.default_rng(seed), len(centre)
+        # Directions in orthogonal sets: their signs say more than those of independent ones.
+        sets = [np.linalg.qr(rng.standard_normal((dims, dims)))[0] for _ in range(-(-pool // dims))]
+        self.centre, self.planes = centre, np.concatenate(sets)[:pool]
+        self.picks = np.stack([rng.permutation(pool)[:bits] for _ in range(trees)])
+        self.bits = bits
 
     def strings(self, vectors: np.ndarray) -> np.ndarray:
-        """trees x rows, uint64: the first projection is the highest bit."""
-        trees, bits, _ = self.planes.shape
-        out = np.zeros((trees, len(vectors)), dtype=np.uint64)
-        x = vectors - self.centre
-        for t in range(trees):
-            signs = x @ self.planes[t].T > 0
-            for b in range(bits):
-                out[t] = (out[t] << np.uint64(1)) | signs[:, b].astype(np.uint64)
+        """trees x rows, uint32: the first bit a tree reads is the highest."""
+        signs = ((vectors - self.centre) @ self.planes.T > 0).T
+        out = np.zeros((len(self.picks), len(vectors)), np.uint32)
+        for t, pick in enumerate(self.picks):
+            for b in pick:
+                out[t] = (out[t] << np.uint32(1)) | signs[b]
         return out
 
-    def candidates(self, queries: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
-        """For each query the rows that share the prefix to which it ascends: the longest that gives ``wanted`` rows."""
-        trees, bits, _ = self.planes.shape
-        n = self.sorted.shape[1]
-        keys = self.strings(queries)
-        lo, hi = np.zeros((bits + 1, trees, len(queries)), np.int64), np.zeros((bits + 1, trees, len(queries)), np.int64)
+
+class Forest:
+    """Sorted arrays of hash strings over the rows of one block."""
+
+    def __init__(self, vectors: np.ndarray, hashes: Hashes):
+        self.hashes = hashes
+        keys = hashes.strings(vectors)
+        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(keys, self.order, axis=1)
+
+    def candidates(self, queries: np.ndarray, wanted: int, reach: int = REACH) -> Iterator[np.ndarray]:
+        """For each query the ``wanted`` rows, and their ties, that it meets most often while it ascends."""
+        trees, n = self.sorted.shape
+        bits = self.hashes.bits
+        keys = self.hashes.strings(queries).astype(np.uint64)
+        lo, hi = (np.zeros((bits + 1, trees, len(queries)), np.int32) for _ in range(2))
         for depth in range(bits + 1):
             drop = np.uint64(bits - depth)
             low = (keys >> drop) << drop
             high = low + ((np.uint64(1) << drop) - np.uint64(1))
             for t in range(trees):
-                lo[depth, t] = np.searchsorted(self.sorted[t], low[t], "left")
-                hi[depth, t] = np.searchsorted(self.sorted[t], high[t], "right")
-        met = (hi - lo).sum(axis=1)  # depth x queries, with repeats over trees
+                lo[depth, t] = np.searchsorted(self.sorted[t], low[t].astype(np.uint32), "left")
+                hi[depth, t] = np.searchsorted(self.sorted[t], high[t].astype(np.uint32), "right")
+        wanted = min(wanted, n)
         for q in range(len(queries)):
-            depth = int(np.flatnonzero(met[:, q] >= min(wanted, n))[-1])
-            while True:
-                seen = np.zeros(n, dtype=bool)
-                for t in range(trees):
-                    seen[self.order[t, lo[depth, t, q] : hi[depth, t, q]]] = True
-                if seen.sum() >= min(wanted, n) or depth == 0:
+            met = np.zeros(n, np.int32)
+            for depth in range(bits, -1, -1):
+                for t in np.flatnonzero(hi[depth, :, q] > lo[depth, :, q]):
+                    met[self.order[t, lo[depth, t, q] : hi[depth, t, q]]] += 1
+                if np.count_nonzero(met) >= min(n, reach * wanted):
                     break
-                depth -= 1
-            yield np.flatnonzero(seen)
+            seen = np.flatnonzero(met)
+            if len(seen) > wanted:
+                seen = seen[met[seen] >= np.partition(met[seen], len(seen) - wanted)[len(seen) - wanted]]
+            yield seen
 
 
-def neighbours(df: DataFrame, is_query: Column, k: int = 10, id_: str = "vec_id", vector: str = "embedding", dims: int | None = None, trees: int = TREES, bits: int = BITS, share: float = SHARE, least: int = LEAST, block: int = BLOCK, query_block: int = QUERIES, seed: int = 7) -> DataFrame:
+def neighbours(df: DataFrame, is_query: Column, k: int = 10, id_: str = "vec_id", vector: str = "embedding", dims: int | None = None, trees: int = TREES, bits: int = BITS, pool: int = POOL, share: float = SHARE, least: int = LEAST, block: int = BLOCK, query_block: int = QUERIES, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which ``is_query`` holds."""
     spark = df.sparkSession
-    small_batches(spark)
     rows = df.where(is_query.isNotNull()).select(F.col(id_).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     dims = dims or rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").select("d").limit(1).agg(F.max("d")).first()[0]
     if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], RANKED)
     rows = rows.where(F.size("v") == dims)
     centre = np.array([x or 0.0 for x in rows.agg(*[F.avg(F.col("v")[i]) for i in range(dims)]).first()])
-    planes = np.random.default_rng(seed).standard_normal((trees, bits, dims))
+    hashes = Hashes(centre, trees, bits, pool, seed)
     asked = rows.where("q").select("vec_id", "v")
     blocks = max(1, -(-asked.count() // query_block))
-    found = None
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    out = None
     for n in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect()  # some query_block rows
-        if part:
-            one = _nearest(rows, [r.vec_id for r in part], np.array([r.v for r in part]), k, planes, centre, share, least, block)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if not part:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in part]), np.array([r.v for r in part])))
+        del part
+        found = rows.select("vec_id", "v").mapInPandas(_search(sent, hashes, k, share, least, block), NEIGHBOURS)
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = written(found, "neighbours")
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], RANKED) if out is None else out
 
 
-def _nearest(rows: DataFrame, ids: list[int], queries: np.ndarray, k: int, planes: np.ndarray, centre: np.ndarray, share: float, least: int, block: int) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((np.array(ids), queries, planes, centre))
+def _search(sent, hashes: Hashes, k: int, share: float, least: int, block: int):
+    dims = len(hashes.centre)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count = [], 0
         for b in batches:
-            held.append((b["vec_id"].to_numpy(np.int64), np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, len(centre)))))
+            held.append((b["vec_id"].to_numpy(np.int64), np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims))))
             count += len(b)
             if count >= block:
                 yield in_block(held)
@@ -127,9 +144,9 @@ def _nearest(rows: DataFrame, ids: list[int], queries: np.ndarray, k: int, plane
             yield in_block(held)
 
     def in_block(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-        asked, points, planes, centre = sent.value
+        asked, points = sent.value
         own, x = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
-        forest = Forest(x, planes, centre)
+        forest = Forest(x, hashes)
         norms = (x * x).sum(1)
         out_q, out_v, out_s = [], [], []
         for lo in range(0, len(asked), 256):
@@ -149,4 +166,4 @@ def _nearest(rows: DataFrame, ids: list[int], queries: np.ndarray, k: int, plane
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
-    return rows.select("vec_id", "v").mapInPandas(search, NEIGHBOURS)
+    return search
