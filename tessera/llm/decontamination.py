@@ -11,9 +11,11 @@ item of n words is found if some stretch of a document is at most floor(n / 5) w
    largest distance misses all of them less often than one in a hundred.
 3. Windows that share a key with the item are verified by the exact edit distance of the item to the stretch around them.
 
-Items go out to the executors in blocks of a bounded number, one pass over the documents a block; nothing is shuffled.
-Null and empty texts hold nothing; items that are null or have no words are skipped; items of equal text are each reported.
-Repeated rows are judged alike; empty tables give no rows. Other columns pass through; ``leaks`` replaces a column of that name.
+Items go out to the executors in blocks of a bounded number and size, all of them in one pass over the documents; nothing
+is shuffled. Items of fewer than ``least`` words are skipped: a word or two in a row tell no leak from chance.
+Null and empty texts hold nothing; null items are skipped; items of equal text are each reported. Very long texts are read
+whole. Of stretches equally near to an item the first in the text is reported. Repeated rows are judged alike; empty tables
+give no rows. Other columns pass through; ``leaks`` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import mix, shipped, small_batches, unpacked
+from tessera.llm._shared import mix, shipped, unpacked
 
 #: Edits allowed: one in so many words.
 EDIT_EVERY = 5
 WALKS, TABLES, SAMPLED = 12, 24, 2
-#: Items of one pass.
-BLOCK = 5000
+#: Items of one broadcast, and characters of them.
+BLOCK, BLOCK_CHARS = 5000, 4_000_000
+#: Words an item must have.
+LEAST = 3
 LEAKS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 _WORD = re.compile(r"[^\W_]+")
 
@@ -83,14 +87,14 @@ def edits_within(item: list[int], text: list[int], most: int) -> tuple[int, int,
 class Index:
     """Grams and embeddings of the items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], every: int = EDIT_EVERY, seed: int = 17):
+    def __init__(self, items: list[tuple[int, str]], every: int = EDIT_EVERY, least: int = LEAST, seed: int = 17):
         rng = np.random.default_rng(seed)
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray, int, int]] = []  # id, words, edits, gram size
         grams: dict[int, list[tuple[int, int, int]]] = {1: [], 2: [], 3: []}
         for item_id, text in items:
             ws = words(text)
-            if not ws:
+            if len(ws) < max(1, least):
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], dtype=np.int64)
             q = gram_size(len(ids), every)
@@ -185,24 +189,26 @@ def _regions(diagonals: list[int], need: int, width: int) -> Iterator[tuple[int,
         yield held
 
 
-def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", every: int = EDIT_EVERY, block: int = BLOCK) -> DataFrame:
+def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", every: int = EDIT_EVERY, least: int = LEAST, block: int = BLOCK, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``df`` with ``leaks``: the items that each text holds, where, and how many edits away."""
     spark = df.sparkSession
-    small_batches(spark)
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
-    blocks = max(1, -(-items.count() // block))
-    out = df.drop("leaks").withColumn("leaks", F.array().cast(LEAKS))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // block), -(-size.chars // block_chars))
+    sent = []
     for n in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).orderBy("i", "t").collect()  # some ``block`` items
-        out = out.withColumn("leaks", F.concat("leaks", _held(shipped(spark, Index([(r.i, r.t) for r in part], every)))(F.col(text))))
-    return out
+        sent.append(shipped(spark, Index([(r.i, r.t) for r in part], every, least)))
+    return df.drop("leaks").withColumn("leaks", _held(sent)(F.col(text)))
 
 
-def _held(sent):
+def _held(sent: list):
     @F.pandas_udf(LEAKS)
     def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = unpacked(sent)
+        indexes = [unpacked(s) for s in sent]
+        names = ("item_id", "start", "end", "edits")
         for b in batches:
-            yield pd.Series([[dict(zip(("item_id", "start", "end", "edits"), x, strict=True)) for x in index.leaks(words(t))] for t in b], dtype=object)
+            found = ([x for index in indexes for x in index.leaks(ws)] for ws in map(words, b))
+            yield pd.Series([[dict(zip(names, x, strict=True)) for x in sorted(own)] for own in found], dtype=object)
 
     return held
