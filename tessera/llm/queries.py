@@ -80,9 +80,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_substring, op3_sharding, op4_decontamination, op5_packing, op6_quality, op7_toxicity, op8_ann, op9_url_filter, op10_ngram_join)}
 
-_TERM = "regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){}($|[^a-z0-9])')"
+_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = f"regexp_matches({_AZ.format("coalesce(url, '')")}, '(^|[^a-z0-9]){{}}($|[^a-z0-9])')"
 _STRICT = " OR ".join(_TERM.format(t) for t in url_filter.STRICT)
-_SOFT = " + ".join(f"CAST({_TERM.format(t)} AS INTEGER)" for t in url_filter.SOFT)
+_SOFT = " + ".join(f"CAST({_TERM.format(t)} AS INTEGER)" for t in url_filter.LIGHT + url_filter.HEAVY)
+_WEIGHT = " + ".join(f"{url_filter.VOCABULARY[t]} * CAST({_TERM.format(t)} AS INTEGER)" for t in url_filter.LIGHT + url_filter.HEAVY)
 _RULES = "\n".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p} {v}'"
     for h, p, v in sorted(url_filter.RULES, key=lambda r: -len(r[0]) - len(r[1]))
@@ -120,10 +122,10 @@ ORACLES = {
     "op9_url_filter": f"""
         WITH u AS (SELECT page_id, url, coalesce(regexp_extract(url, '^[^:]*(?::[^:]*?)*?://([^/?#]*)([^?#]*)', 1), '') AS h,
                           coalesce(regexp_extract(url, '^[^:]*(?::[^:]*?)*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-        r AS (SELECT page_id, url, lower(h) AS host, path FROM u),
+        r AS (SELECT page_id, url, {_AZ.format('h')} AS host, path FROM u),
         j AS (SELECT *, CASE {_RULES} END AS hit FROM r)
         SELECT page_id, host, path, split_part(hit, ' ', 1) AS rule,
                CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 2)
-                    WHEN ({_STRICT}) OR ({_SOFT}) >= {url_filter.SOFT_NEEDED} THEN 'block' ELSE 'allow' END AS verdict
+                    WHEN ({_STRICT}) OR ({_SOFT}) >= {url_filter.SOFT_NEEDED} AND ({_WEIGHT}) >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END AS verdict
         FROM j""",
 }
