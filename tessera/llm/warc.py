@@ -8,7 +8,7 @@ takes all it returns from the header block as stored. ``record_bytes`` is the re
 
 Nulls: a null payload is empty; a null URL leaves WARC-Target-URI out; rows with a null id are revisits where another row
 of the payload has an id, else responses. Rows that repeat an id and its payload are responses alike. Line breaks in a URL
-are percent-encoded, so that no value can end its header field. Empty tables give an empty archive.
+are percent-encoded, so that no value can end its header field. Payloads of any length are stored whole. Empty tables give an empty archive.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import written
+from tessera.llm._shared import Scratch, maybe_among
 
 #: Shorter payloads are not worth a revisit record.
 LEAST = 100
@@ -53,19 +53,23 @@ def header_block(id_: Column, url: Column, kind: Column, size: Column, digest: C
 def write_archive(df: DataFrame, path: str, id_: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write the archive of ``df`` to ``path``/headers and ``path``/payloads."""
     body = F.coalesce(F.encode(F.col(payload), "UTF-8") if dict(df.dtypes)[payload] == "string" else F.col(payload), F.lit(b""))
-    rows = df.select(F.col(id_).alias("id"), F.col(url).alias("url"), body.alias("payload"))
+    rows = df.select(F.col(id_).alias("id"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    scratch = Scratch()
     # Only digests and lengths are shuffled to find the first record of each payload.
-    marks = written(rows.select("id", "url", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"), F.monotonically_increasing_id().alias("row")), "warc-marks")
-    first = marks.groupBy("digest").agg(F.min("id").alias("first_id"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("first_row"), F.min("size").alias("a"), F.max("size").alias("b"))
-    first = first.withColumn("first_row", F.when(F.assert_true(F.col("a") == F.col("b"), "payloads of one digest differ in length").isNull(), F.col("first_row")))
-    first = written(first, "warc-first")  # apart, so that Spark can split the rows of a hot digest in the join
+    marks = scratch.written(rows.select("id", "url", F.octet_length("payload").cast("long").alias("size"), "digest"), "warc-marks")
+    first = marks.groupBy("digest").agg(F.min("id").alias("first_id"), F.min("size").alias("a"), F.max("size").alias("b"))
+    same = F.assert_true(F.col("a") == F.col("b"), "payloads of one digest differ in length")
+    first = first.select("digest", F.when(same.isNull(), F.col("first_id")).alias("first_id"))
+    first = scratch.written(first, "warc-first")  # apart, so that Spark can split the rows of a hot digest in the join
     kind = F.when((F.col("size") < least) | F.col("first_id").isNull() | F.col("id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit")
     refers = F.when(F.col("kind") == "revisit", F.col("first_id"))
-    headers = marks.join(first.select("digest", "first_id"), "digest").withColumn("kind", kind).withColumn("refers_to", refers)
-    headers.select("row", "digest", header_block(F.col("id"), F.col("url"), F.col("kind"), F.col("size"), F.col("digest"), F.col("refers_to"), date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # The bytes of a payload leave their partition only if its record is the first of its digest.
-    stored = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "payload")
-    stored.join(first.select(F.col("first_row").alias("row"), "digest"), "row").select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    headers = marks.join(first, "digest").withColumn("kind", kind).withColumn("refers_to", refers)
+    header = header_block(F.col("id"), F.col("url"), F.col("kind"), F.col("size"), F.col("digest"), F.col("refers_to"), date)
+    headers.select("digest", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    # The bytes of a payload leave their partition only if its record may be the first of its digest; of several there one goes on.
+    stored = maybe_among(rows.select("id", "digest", "payload"), first.withColumnRenamed("first_id", "id"), ["digest", "id"])
+    stored.groupBy("digest").agg(F.min("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    scratch.clear()
 
 
 def _value(name: str) -> Column:
