@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import shipped, small_batches, unpacked
+from tessera.llm._shared import shipped, unpacked
 
 POSITIVES, UNLABELLED = 2000, 4000
 PAIRS, SURFACE = 1024, 4
@@ -116,7 +116,6 @@ def train(p: np.ndarray, u: np.ndarray, prior: float | None = None, steps: int =
 def score(df: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_: str = "doc_id", text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
     """``df`` with score and predicted. ``learn`` (over columns of ``labels``) says which labels may be learned from."""
     spark = df.sparkSession
-    small_batches(spark)
     trusted = labels.where(learn & (F.col(label) == 1)).select(F.col(id_).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(positives)
     web = df.select(F.col(id_).alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id", F.lit(1)), "_id").limit(unlabelled)
     chosen = trusted.withColumn("_p", F.lit(1)).union(web.withColumn("_p", F.lit(0)))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import mix, shipped, small_batches, unpacked
+from tessera.llm._shared import chunks, mix, shipped, unpacked
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS = 8, 8, 8, 4096
@@ -293,10 +293,10 @@ def sample_of(labels: DataFrame, learn: Column, label: str, id_: str, sample: in
 def score(df: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", id_: str = "doc_id", text: str = "text", sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """``df`` with score and predicted. ``learn`` (over columns of ``labels``) says which labels may be learned from."""
     spark = df.sparkSession
-    small_batches(spark)
     chosen = F.broadcast(sample_of(labels, learn, label, id_, sample))
     texts = df.where(F.length(text) <= longest).select(F.col(id_).alias("_id"), F.col(text).alias("_t")).join(chosen, "_id").select("_t", "_y", "_id")
-    rows = texts.orderBy("_id", "_t").limit(2 * sample).collect()
+    # One row an id and label: of rows that repeat it the one with the least text.
+    rows = texts.groupBy("_id", "_y").agg(F.min("_t").alias("_t")).orderBy("_id", "_y").collect()  # 2 * sample at most
     y = np.array([r._y for r in rows], dtype=np.int64)
     if len(set(y.tolist())) == 2:
         sent = shipped(spark, train([words(r._t) for r in rows], y))
@@ -308,11 +308,10 @@ def score(df: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         model = unpacked(sent)
         scorer = Scorer(model) if isinstance(model, Network) else None
         for b in batches:
-            texts = [words(t) for t in b]
             if scorer is None:
-                yield pd.Series([(model if model == 1 else min(model, 0.49)) if t else 0.0 for t in texts], dtype=float)
+                yield pd.Series([(model if model == 1 else min(model, 0.49)) if words(t) else 0.0 for t in b], dtype=float)
             else:
-                parts = [scorer.scores(texts[lo : lo + 512]) for lo in range(0, len(texts), 512)]
+                parts = [scorer.scores([words(t) for t in part]) for part in chunks(b)]
                 yield pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
     out = df.drop("score", "predicted").withColumn("score", scored(F.col(text)))
