@@ -160,7 +160,7 @@ def test_packing(docs, rows, none):
 def test_packing_in_many_rounds(spark):
     rnd = random.Random(2)
     docs = samples.documents(spark, [(i, samples.sentence(rnd, rnd.randrange(1, 300))) for i in range(400)], False).repartition(16)
-    got = packing.pack(docs, tokenizer_path(), group=20, fan=2).toPandas()
+    got = packing.pack(docs, tokenizer_path(), group=20).toPandas()
     assert got.doc_id.nunique() == 400 and not got.duplicated(["doc_id", "piece"]).any()
     assert got.sequence_id.nunique() <= 1.1 * got.length.sum() / 1024 + 2
     assert got.groupby("sequence_id").length.sum().max() <= 1024
@@ -240,21 +240,36 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 150 and {r.query_id for r in got} == set(range(0, 1500, 100))
 
 
-def test_neighbours_by_the_forest(spark):
-    """A block above the floor: candidates are a part of it, and the nearest are among them."""
+@pytest.mark.parametrize("clustered", [True, False])
+def test_neighbours_by_the_forest(spark, clustered):
+    """A part of each block is measured, a quarter at most, and holds nine in ten of the true neighbours."""
     rng = np.random.default_rng(2)
-    x = np.repeat(rng.standard_normal((60, 16)), 25, axis=0) + 0.05 * rng.standard_normal((1500, 16))
-    planes = np.random.default_rng(7).standard_normal((ann.TREES, ann.BITS, 16))
-    near = list(ann.Forest(x, planes, x.mean(0)).candidates(x[::100], 40))
-    assert np.mean([len(n) for n in near]) < 0.5 * 1500
+    x = rng.standard_normal((6000, 64))
+    if clustered:
+        x = np.repeat(x[:200], 30, axis=0) + 0.1 * rng.standard_normal((6000, 64))
+    asked = np.arange(0, 6000, 100)
+    share = 0.02 if clustered else ann.SHARE
+    near = list(ann.Forest(x, ann.Hashes(x.mean(0))).candidates(x[asked], int(share * len(x))))
+    assert np.mean([len(n) for n in near]) <= (0.05 if clustered else 0.25) * len(x)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
-    got = ann.neighbours(df, F.col("vec_id") % 100 == 0, share=0.01, least=40).collect()
+    got = ann.neighbours(df, F.col("vec_id") % 100 == 0, share=share, least=40, query_block=25).collect()
     hits = 0
-    for q in range(0, 1500, 100):
+    for q in asked.tolist():
         d = ((x - x[q]) ** 2).sum(1)
         d[q] = np.inf
         hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
-    assert hits >= 0.9 * 150
+    assert hits >= 0.9 * 10 * len(asked) and len(got) == 10 * len(asked)
+
+
+def test_neighbours_of_many_copies_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 8))
+    x[100:700] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(450, x[450].tolist())]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, least=20).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 0.0) for i in range(100, 110)]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=602, least=20).orderBy("rank").collect()
+    assert sum(r.vec_id == 450 for r in got) == 2
 
 
 def test_few_and_no_neighbours(spark):
@@ -293,6 +308,38 @@ def test_leaks(spark, none):
     assert decontamination.find(samples.documents(spark, rows), bench.limit(0)).where("size(leaks) > 0").isEmpty()
 
 
+def test_leaks_by_brute_force(spark):
+    """All pairs of documents and items by the edit distance of every stretch: what is found is there, and hardly any is missed."""
+    rnd = random.Random(12)
+    word = lambda: rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randrange(4))
+    items = [[word() for _ in range(rnd.randrange(6, 26))] for _ in range(40)]
+    docs = []
+    for i in range(160):
+        w = list(items[i % 40])
+        for _ in range(rnd.randrange(len(w) // 5 + 3)):
+            k = rnd.randrange(len(w))
+            w[k : k + rnd.randrange(2)] = [word()] * rnd.randrange(2)
+            w = w or [word()]
+        docs.append([word() for _ in range(rnd.randrange(20))] + w + [word() for _ in range(rnd.randrange(20))])
+    docs += docs[:5] + [items[0] * 3]  # repeated rows and ties
+    want = {(d, i) for d, ws in enumerate(docs) for i, item in enumerate(items) if decontamination.edits_within(item, ws, len(item) // 5)}
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = decontamination.find(samples.documents(spark, [(d, " ".join(t)) for d, t in enumerate(docs)], False), bench, block=15).collect()
+    found = {(r.doc_id, x.item_id) for r in got for x in r.leaks}
+    assert found <= want and len(found) >= 0.99 * len(want) and len(want) > 100
+    assert [x.item_id for x in got[0].leaks] == sorted(x.item_id for x in got[0].leaks)
+    assert [(x.start, x.end) for r in got if r.doc_id == 165 for x in r.leaks if x.item_id == 0] == [(0, len(items[0]))]
+
+
+def test_leaks_in_long_texts_and_of_short_items(spark):
+    rnd = random.Random(13)
+    long = " ".join(f"w{rnd.randrange(900)}" for _ in range(60_000))
+    item = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (2, "w5"), (3, "w5 w6")], "item_id long, text string")
+    got = decontamination.find(samples.documents(spark, [(0, f"{long} {item}"), (1, "w5 w6")], False), bench).orderBy("doc_id").collect()
+    assert [[x.item_id for x in r.leaks] for r in got] == [[1], []]
+
+
 def test_edit_distance_by_brute_force():
     rnd = random.Random(6)
 
