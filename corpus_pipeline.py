@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, ngram_join, packing, substring, toxicity
-from tessera.llm._shared import discard, release, written
+from tessera.llm._shared import discard, written
 from tessera.llm.queries import table, tokenizer_path
 
 
@@ -69,5 +69,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if n:
             discard(before)
-        release(spark)
     return docs
