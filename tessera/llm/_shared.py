@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -92,14 +90,6 @@ class Scratch:
         self.tables = list(keep)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of DataFrames that no longer exist: it does so as the driver collects garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 #: Bits of the bounded filter below: 2 MB, whatever the number of keys.
 FILTER_BITS = 1 << 24
 
@@ -140,13 +130,6 @@ def chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[st
         yield held
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch (texts may be long), unless the session already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def utf8(text: str | bytes | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)
 
