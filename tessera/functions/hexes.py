@@ -59,3 +59,19 @@ def from_pixel(x: Column, y: Column, size: float, layout=POINTY, x0: float = 0.0
     """struct(q, r) of the hexagon around a point: hexagonal binning."""
     u, v = (x - x0) / size, (y - y0) / size
     return rounded(layout[4] * u + layout[5] * v, layout[6] * u + layout[7] * v)
+
+
+def to_cube(q: Column, r: Column) -> Column:
+    """struct(x, y, z) with a sum of 0."""
+    return F.struct(q.alias("x"), (-q - r).alias("y"), r.alias("z"))
+
+
+def from_cube(x: Column, y: Column, z: Column) -> Column:
+    """struct(q, r); cube coordinates whose sum is not 0 are an error."""
+    ok = F.assert_true(x + y + z == 0, "cube coordinates must sum to 0").isNull()
+    return F.when(ok, F.struct(x.alias("q"), z.alias("r")))
+
+
+def rectangle(left: int, right: int, top: int, bottom: int) -> Column:
+    """Array of struct(q, r) of a closed range of both axes."""
+    return F.array(*[F.struct(F.lit(q).alias("q"), F.lit(r).alias("r")) for q in range(left, right + 1) for r in range(top, bottom + 1)])

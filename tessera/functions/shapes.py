@@ -79,3 +79,14 @@ def box_distance2(values: list[Column], low: list[float], high: list[float]) ->
 def centre(r) -> tuple[Column, Column]:
     a = _of(r)
     return (a[0] + a[2]) / 2, (a[1] + a[3]) / 2
+
+
+def boxes_meet(low_a: list[Column], high_a: list[Column], low_b: list[Column], high_b: list[Column]) -> Column:
+    """Closed boxes of any number of dimensions; touching faces count."""
+    return reduce(lambda p, q: p & q, [(la <= hb) & (ha >= lb) for la, ha, lb, hb in zip(low_a, high_a, low_b, high_b, strict=True)])
+
+
+def box_in_frustum(low: list[Column], high: list[Column], planes: list[tuple[float, float, float, float]]) -> Column:
+    """Whether no plane has a whole box (three dimensions) on its outer side, by the corner furthest along its normal."""
+    corner = lambda n, i: n * (high[i] if n >= 0 else low[i])
+    return reduce(lambda p, q: p & q, [corner(nx, 0) + corner(ny, 1) + corner(nz, 2) + d >= 0 for nx, ny, nz, d in planes])

@@ -88,3 +88,15 @@ def diff(before: DataFrame, after: DataFrame, key: str, values: list[str]) -> Da
     b = after.select(key, F.struct(*values).alias("_b"))
     action = F.when(F.col("_a").isNull(), "Add").when(F.col("_b").isNull(), "Remove").when(~F.col("_a").eqNullSafe(F.col("_b")), "Replace")
     return a.join(b, key, "full").select(key, action.alias("action")).where("action is not null")
+
+
+def toggle(items: DataFrame, toggles: DataFrame) -> DataFrame:
+    """A set after toggles, each of which puts an item in or takes it out: an odd number of them changes what was there."""
+    cols = items.columns
+    both = items.distinct().withColumns({"_in": F.lit(1), "_n": F.lit(0)}).unionByName(toggles.select(cols).withColumns({"_in": F.lit(0), "_n": F.lit(1)}))
+    return both.groupBy(*cols).agg(F.max("_in").alias("_in"), F.sum("_n").alias("_n")).where((F.col("_in") + F.col("_n")) % 2 == 1).select(cols)
+
+
+def remove_where(items: DataFrame, condition: Column) -> DataFrame:
+    """What stays; items for which the condition is unknown stay."""
+    return items.where(~F.coalesce(condition, F.lit(False)))

@@ -26,8 +26,8 @@ def _cut(df: DataFrame) -> DataFrame:
 def add_edges(vertices: DataFrame, edges: DataFrame, new: DataFrame, order: list[str], both_ways: bool = False) -> DataFrame:
     """Edges with the new ones whose endpoints exist; of one (src, dst) the first stays."""
     if both_ways:
-        back = new.withColumnsRenamed({"src": "dst", "dst": "src"})
-        new = new.unionByName(back.select(new.columns))
+        back = new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in new.columns if c not in ("src", "dst")])
+        new = new.unionByName(back)
     ids = vertices.select("id")
     ok = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     ok = ok.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
@@ -104,23 +104,26 @@ def distances(edges: DataFrame, sources: DataFrame, weighted: bool = True, most:
 def shortest_path(spark: SparkSession, edges: DataFrame, start, end, weighted: bool = True) -> DataFrame:
     """One row path, total_weight, length (vertices); none where there is no path.
 
-    The path is read back from the end by as many point lookups as it has vertices.
+    The way back is found by pointer doubling: after k rounds every vertex of the tree knows the one 2^k steps before it, and
+    the vertices already known to lie on the path give twice as many. Only the path itself comes to the driver.
     """
     kind = edges.schema["src"].dataType.simpleString()
     sources = spark.range(1).select(F.lit(start).cast(kind).alias("id"))
-    tree = distances(edges, sources, weighted, target=F.lit(end)).cache()
-    at, path, total = end, [end], None
+    tree = distances(edges, sources, weighted, target=F.lit(end))
+    jump = tree.select("id", F.col("via").alias("back"))
+    on_path = tree.where(F.col("id") == F.lit(end)).select("id", F.lit(0).alias("steps"))
+    far = 1
     while True:
-        row = tree.where(F.col("id") == F.lit(at)).first()
-        if row is None:
-            return spark.createDataFrame([], f"path array<{kind}>, total_weight double, length int")
-        total = row.distance if total is None else total
-        if row.via is None:
+        more = on_path.join(jump, "id").where("back is not null").select(F.col("back").alias("id"), (F.col("steps") + far).alias("steps"))
+        if more.isEmpty():
             break
-        at = row.via
-        path.insert(0, at)
-    tree.unpersist()
-    return spark.createDataFrame([(path, total, len(path))], f"path array<{kind}>, total_weight double, length int")
+        on_path = _cut(on_path.unionByName(more))
+        jump = _cut(jump.alias("a").join(jump.alias("b"), F.col("a.back") == F.col("b.id")).select("a.id", "b.back").where("back is not null"))
+        far *= 2
+    rows = on_path.join(tree.select("id", "distance"), "id").orderBy(F.desc("steps")).collect()  # the path
+    if not rows:
+        return spark.createDataFrame([], f"path array<{kind}>, total_weight double, length int")
+    return spark.createDataFrame([([r.id for r in rows], rows[-1].distance, len(rows))], f"path array<{kind}>, total_weight double, length int")
 
 
 def clustering(edges: DataFrame, directed_once: bool = True) -> DataFrame:
@@ -197,3 +200,28 @@ def transitions(log: DataFrame, key: str, state: str, order: list[str]) -> DataF
     by = Window.partitionBy(key).orderBy(*order)
     pairs = log.select(F.col(state).alias("src"), F.lead(state).over(by).alias("dst")).where("dst is not null")
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+def upsert_vertices(vertices: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """Vertices (id, value columns) after writes: of an id the last write wins, in ``order``; new ids enter."""
+    rest = [c for c in vertices.columns if c != "id"]
+    last = new.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_new"))
+    both = vertices.select("id", F.struct(*rest).alias("_old")).join(last, "id", "full")
+    return both.select("id", F.coalesce("_new", "_old").alias("_v")).select("id", *[F.col(f"_v.{c}") for c in rest])
+
+
+def add_vertices(vertices: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """Vertices with new ones added: those whose id is there already are refused, and of new ones of an id all but the first.
+
+    Adds ``refused``, the number of refused rows of the id.
+    """
+    rest = [c for c in vertices.columns if c != "id"]
+    first = new.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_new"), F.count("*").alias("_n"))
+    both = vertices.select("id", F.struct(*rest).alias("_old")).join(first, "id", "full")
+    refused = F.coalesce(F.col("_n") - F.when(F.col("_old").isNull(), 1).otherwise(0), F.lit(0))
+    return both.select("id", F.coalesce("_old", "_new").alias("_v"), refused.alias("refused")).select("id", *[F.col(f"_v.{c}") for c in rest], "refused")
+
+
+def lookup_vertices(probes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``probes`` (id) with ``found`` and the vertex's columns."""
+    return probes.join(vertices.withColumn("found", F.lit(True)), "id", "left").na.fill(False, ["found"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,26 +139,26 @@ def hex_costs(cells_: DataFrame, start: tuple[int, int], most: float | None = No
 
 
 def hex_path(cells_: DataFrame, start: tuple[int, int], goal: tuple[int, int]) -> DataFrame:
-    """step, q, r, cost of one cheapest path, ties to the smaller (q, r); empty if the goal is blocked or cut off."""
-    costs = hex_costs(cells_, start).cache()
-    enter = {(r.q, r.r): float(r.enter_cost) for r in cells_.where(F.struct("q", "r") == F.struct(F.lit(goal[0]), F.lit(goal[1]))).collect()}
-    at, path = goal, []
-    while at != start:
-        here = costs.where((F.col("q") == at[0]) & (F.col("r") == at[1])).first()
-        if here is None:
-            path = None
+    """step, q, r, cost of one cheapest path, ties to the smaller (q, r); empty if the goal is blocked or cut off.
+
+    The way back is found by pointer doubling over each cell's cheapest neighbour.
+    """
+    costs = hex_costs(cells_, start)
+    enter = cells_.select("q", "r", F.col("enter_cost").cast("double").alias("w"))
+    out = costs.select(F.struct("q", "r").alias("before"), F.col("cost").alias("c"), F.explode(hexes.neighbours(F.col("q"), F.col("r"))).alias("n")).select("before", "c", "n.q", "n.r")
+    goes = costs.join(enter, ["q", "r"]).join(out, ["q", "r"]).where(F.abs(F.col("c") + F.col("w") - F.col("cost")) < 1e-9)
+    jump = _cut(goes.where(~((F.col("q") == start[0]) & (F.col("r") == start[1]))).groupBy("q", "r").agg(F.min("before").alias("b")).select(F.struct("q", "r").alias("at"), F.col("b").alias("back")))
+    on_path, far = costs.where((F.col("q") == goal[0]) & (F.col("r") == goal[1])).select(F.struct("q", "r").alias("at"), F.lit(0).alias("steps")), 1
+    while True:
+        more = on_path.join(jump, "at").select(F.col("back").alias("at"), (F.col("steps") + far).alias("steps"))
+        if more.isEmpty():
             break
-        path.append((at[0], at[1], here.cost))
-        around = [(at[0] + a, at[1] + b) for a, b in hexes.DIRECTIONS]
-        own = reduce(lambda p, q: p | q, [(F.col("q") == a) & (F.col("r") == b) for a, b in around])
-        if at not in enter:
-            enter[at] = float(cells_.where((F.col("q") == at[0]) & (F.col("r") == at[1])).first().enter_cost)
-        before = [r for r in costs.where(own).collect() if abs(r.cost + enter[at] - here.cost) < 1e-9]
-        at = min((r.q, r.r) for r in before)
-    spark = cells_.sparkSession
-    rows = [] if path is None else [(0, *start, 0.0), *[(i + 1, *p) for i, p in enumerate(reversed(path))]]
-    costs.unpersist()
-    return spark.createDataFrame(rows, "step int, q int, r int, cost double")
+        on_path = _cut(on_path.unionByName(more))
+        jump = _cut(jump.alias("a").join(jump.alias("b"), F.col("a.back") == F.col("b.at")).select("a.at", "b.back"))
+        far *= 2
+    length = on_path.agg(F.max("steps").alias("_n"))
+    path = on_path.join(F.broadcast(length)).select((F.col("_n") - F.col("steps")).alias("step"), "at.q", "at.r")
+    return path.join(costs, ["q", "r"]).select("step", "q", "r", "cost")
 
 
 def path_cost(path: DataFrame, cells_: DataFrame) -> DataFrame:
@@ -203,3 +201,46 @@ def safe_positions(cells_: DataFrame, start: tuple[int, int], points: float, ene
     """Reachable cells with their threat, the safest and then the cheapest first: q, r, threat, cost."""
     at = hex_costs(cells_, start, points)
     return threat_map(enemies, cells_.where("blocked"), at, reach).join(at, ["q", "r"]).orderBy("threat", "cost", "q", "r")
+
+
+def look_up(cells_: DataFrame, at: DataFrame) -> DataFrame:
+    """Places ``at`` (x, y) of a bit grid with ``bit``."""
+    return at.join(cells_.select("x", "y").distinct().withColumn("bit", F.lit(True)), ["x", "y"], "left").na.fill(False, ["bit"])
+
+
+def write_bits(grid: DataFrame, writes: DataFrame, order: list[str]) -> DataFrame:
+    """A bit grid after writes (x, y, bit), of which the last of a place wins."""
+    last = writes.groupBy("x", "y").agg(F.max_by("bit", F.struct(*order)).alias("bit"))
+    return grid.select("x", "y").distinct().withColumn("_old", F.lit(True)).join(last, ["x", "y"], "full").where(F.coalesce("bit", "_old")).select("x", "y")
+
+
+def write_cells(grid: DataFrame, writes: DataFrame, order: list[str]) -> DataFrame:
+    """A raster after writes (layer, x, y, value), of which the last of a cell wins; writes beyond the raster are an error."""
+    last = writes.groupBy("layer", "x", "y").agg(F.max_by("value", F.struct(*order)).alias("_new"))
+    both = grid.join(last, ["layer", "x", "y"], "full")
+    beyond = F.assert_true(F.col("value").isNotNull() | F.col("_new").isNull(), "a cell lies beyond the raster").isNull()
+    return both.select("layer", "x", "y", F.when(beyond, F.coalesce("_new", "value")).alias("value"))
+
+
+def layer_line(grid: DataFrame, layer: int, row: int | None = None, column: int | None = None) -> DataFrame:
+    """One row or column of a layer, left to right or top to bottom, as an array."""
+    axis, on = ("x", F.col("y") == row) if row is not None else ("y", F.col("x") == column)
+    got = grid.where(on & (F.col("layer") == layer)).agg(F.array_sort(F.collect_list(F.struct(axis, "value"))).alias("_c"))
+    return got.select(F.transform("_c", lambda c: c["value"]).alias("cells"))
+
+
+def set_hexes(grid: DataFrame, writes: DataFrame, order: list[str]) -> DataFrame:
+    """A map (q, r, value) after writes, of which the last of a cell wins; new cells enter."""
+    last = writes.groupBy("q", "r").agg(F.max_by("value", F.struct(*order)).alias("_new"))
+    return grid.join(last, ["q", "r"], "full").select("q", "r", F.coalesce("_new", "value").alias("value"))
+
+
+def fill_hexes(grid: DataFrame, shape: Column, value: Column) -> DataFrame:
+    """A map after every cell of a shape (an array of struct(q, r) that depends on no column) got a value."""
+    spark = grid.sparkSession
+    at = spark.range(1).select(F.explode(shape).alias("c")).select("c.q", "c.r", value.alias("value"), F.lit(0).alias("_order"))
+    return set_hexes(grid, at, ["_order"])
+
+
+def remove_hexes(grid: DataFrame, gone: DataFrame) -> DataFrame:
+    return grid.join(gone.select("q", "r"), ["q", "r"], "left_anti").select(grid.columns)

@@ -54,10 +54,11 @@ def counter_stats(counted: DataFrame) -> DataFrame:
     return counted.agg(F.count("*").alias("keys"), F.sum("n").alias("accesses"), F.min("n").alias("low"), F.max("n").alias("high"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
 
 
-def fifo(log: DataFrame, groups: list[str], key: str, order: list[str], n: int, delete=None) -> DataFrame:
+def fifo(log: DataFrame, groups: list[str], key: str, order: list[str], n: int, delete=None, refresh: bool = False) -> DataFrame:
     """Contents of one FIFO cache a group after its log: group, position (0 oldest), key.
 
-    A key enters at its first access and after it was evicted or deleted; accesses while it is held keep its place. What is
+    A key enters at its first access and after it was evicted or deleted; accesses while it is held keep its place, or, with
+    ``refresh`` (which makes the cache an LRU one), move it to the end. What is
     held depends on all that came before, so a group is folded in order; its rows stream through in bounded batches and only
     the cache is kept, so groups of any length work.
     """
@@ -79,6 +80,8 @@ def fifo(log: DataFrame, groups: list[str], key: str, order: list[str], n: int,
                     if len(held) == n:
                         held.pop(next(iter(held)))
                     held[row[-2]] = None
+                elif refresh:
+                    held[row[-2]] = held.pop(row[-2])
         if at is not None:
             yield contents(at, held)
 
@@ -116,3 +119,23 @@ def lru_multimap(rows: DataFrame, key: str, value: str, order: list[str], n: int
 def keyed_rank(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def probe_counters(probes: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """``probes`` (key) with ``n``, 0 for keys that are not held; a look counts as no access."""
+    return probes.join(counted.select(key, "n"), key, "left").na.fill(0, ["n"])
+
+
+def in_touch_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Keys with when they were touched last, which orders them: the greatest first."""
+    return rows.groupBy(key).agg(F.max(F.struct(*order)).alias("_o")).select(key, *[F.col(f"_o.{o}").alias(f"last_{o}") for o in order])
+
+
+def occupancy(contents: DataFrame, groups: list[str], n: int) -> DataFrame:
+    """Entries, capacity, and whether it is used up, of the caches that ``fifo`` gives."""
+    return contents.groupBy(*groups).agg(F.count("*").alias("entries")).withColumns({"capacity": F.lit(n), "full": F.col("entries") == n})
+
+
+def cache_ends(contents: DataFrame, groups: list[str], key: str) -> DataFrame:
+    """A look at both ends of the caches that ``fifo`` gives, which moves nothing: first out, last out."""
+    return contents.groupBy(*groups).agg(F.min_by(key, "position").alias("first_out"), F.max_by(key, "position").alias("last_out"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,17 +50,82 @@ def nearest_rank(value: str, p: float) -> Column:
     return disc(value, p)
 
 
+#: Accuracy of the sketch that brackets an exact quantile: its ranks are off by at most one in so many.
+BRACKET = 10_000
+
+
+def _same(keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+
+
+def _ranked(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[float, Column]], extra: list[Column]) -> DataFrame:
+    """keys, the aggregates ``extra`` and, by name, the value of each rank (a share near it, and the rank from 1 by ``_n``)."""
+    margin = 2 / BRACKET
+    ends = [e for q, _ in ranks.values() for e in (max(0.0, q - margin), min(1.0, q + margin))]
+    rows = df.withColumn("_v", F.col(value))
+    known = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", ends, BRACKET).alias("_e"), *extra)
+    names = [c for c in known.columns if c not in (*keys, "_n", "_e")]
+    bracket = known.select(*keys, F.col("_e"))
+    met = rows.where("_v is not null").select(*keys, "_v").alias("a").join(bracket.alias("b"), _same(keys)).select(*[F.col(f"a.{k}") for k in keys], "_v", "_e")
+    # One pass counts what lies below each bracket; what lies inside is counted by value, and only that is ordered.
+    below = met.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col("_e")[2 * i]).alias(f"_b{i}") for i in range(len(ranks))])
+    inside = F.filter(F.sequence(F.lit(0), F.lit(len(ranks) - 1)), lambda i: F.col("_v").between(F.element_at("_e", i * 2 + 1), F.element_at("_e", i * 2 + 2)))
+    cells = met.select(*keys, "_v", F.explode(inside).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumn("_c", upto)
+    whole = known.select(*keys, "_n", *names).alias("a").join(below.alias("b"), _same(keys), "left").select("a.*", *[f"_b{i}" for i in range(len(ranks))])
+    placed = whole.alias("a").join(cells.alias("b"), _same(keys), "left").select("a.*", "_i", "_v", "_c")
+    found = [F.min(F.when((F.col("_i") == i) & (F.col(f"_b{i}") + F.col("_c") >= rank), F.col("_v"))).alias(name) for i, (name, (_, rank)) in enumerate(ranks.items())]
+    return placed.groupBy(*keys).agg(*[F.first(n).alias(n) for n in names], *found)
+
+
+def _rank(q: float) -> Column:
+    return F.greatest(F.lit(1), F.col("_n") - F.floor(F.col("_n") - F.col("_n") * q))
+
+
+def exact(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], extra: list[Column] | None = None) -> DataFrame:
+    """Exact discrete quantiles of keys of any size, by name: keys, the aggregates ``extra``, quantiles.
+
+    A mergeable sketch brackets each quantile, a second pass counts what lies below the bracket, and only the values inside it,
+    a few in ten thousand of a key's rows, are ordered. No task holds a key's values.
+    """
+    if not all(0 <= q <= 1 for q in qs.values()):
+        raise ValueError("quantiles must lie in 0..1")
+    return _ranked(df, keys, value, {n: (q, _rank(q)) for n, q in qs.items()}, extra or [])
+
+
+def exact_type2(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """``exact`` with the mean of both neighbours where the cumulative share is exactly q (Hyndman-Fan type 2)."""
+    ranks = {}
+    for name, q in qs.items():
+        ranks |= {f"_lo_{name}": (q, _rank(q)), f"_hi_{name}": (q, F.least("_n", F.floor(F.col("_n") * q) + 1))}
+    got = _ranked(df, keys, value, ranks, [])
+    return got.select(*keys, *[((F.col(f"_lo_{n}") + F.col(f"_hi_{n}")) / 2).alias(n) for n in qs])
+
+
 def summary(df: DataFrame, keys: list[str], value: str, window_ms: int, approx: bool = False) -> DataFrame:
-    """Count, extremes, percentiles and rates of each group; one aggregation."""
+    """Count, extremes, percentiles and rates of each group: percentiles exact, or by one sketch."""
+    plain = [F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")]
     if approx:
-        qs = F.percentile_approx(value, list(SUMMARY.values()))
-        out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), qs.alias("_q"))
+        out = df.groupBy(*keys).agg(*plain, F.percentile_approx(value, list(SUMMARY.values())).alias("_q"))
         out = out.select(*keys, "n", "low", "high", *[F.col("_q")[i].alias(n) for i, n in enumerate(SUMMARY)])
     else:
-        out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), *[disc(value, q).alias(n) for n, q in SUMMARY.items()])
+        out = exact(df, keys, value, SUMMARY, plain)
     return out.withColumn("rate_per_second", F.col("n") / F.lit(window_ms / 1000.0))
 
 
+def merged_summary(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial summaries (n, low, high, total, sketch: KLL of doubles) of one key, merged."""
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
+
+
+def weighted_summary(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """Total weight, rows, least and greatest value and weighted mean; rows without a positive weight do not count."""
+    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
+    total = F.sum(weight)
+    return rows.groupBy(*keys).agg(total.alias("total_weight"), F.count("*").alias("rows"), F.min(value).alias("low"), F.max(value).alias("high"), (F.sum(F.col(value) * F.col(weight)) / total).alias("mean"))
+
+
 def in_window(df: DataFrame, ts: Column, as_of: Column, window: int) -> DataFrame:
     """Rows no older than ``window`` at ``as_of`` (same unit), later ones left out."""
     return df.where((ts >= as_of - window) & (ts <= as_of))
@@ -87,6 +154,9 @@ def accuracy(df: DataFrame, keys: list[str], value: str, p: float, tolerance: fl
 def p_square(df: DataFrame, keys: list[str], value: str, order: list[str], p: float) -> DataFrame:
     """The five-marker estimate of one quantile, in the order of arrival; below five values the nearest rank.
 
+    keys, estimate, n, low, high and markers (the heights: least, three in between, greatest), from which ``between_markers``
+    reads other percentiles.
+
     Markers move by the piecewise-parabolic rule of Jain and Chlamtac. The estimate depends on the order, so a key is folded
     row by row while its rows stream through; only five markers are kept, so keys of any length work.
     """
@@ -99,14 +169,23 @@ def p_square(df: DataFrame, keys: list[str], value: str, order: list[str], p: fl
                 key = tuple(row[: len(keys)])
                 if key != at:
                     if at is not None:
-                        yield pd.DataFrame([(*at, state.value())], columns=[*keys, "estimate"])
+                        yield pd.DataFrame([(*at, *state.row())], columns=columns)
                     at, state = key, Markers(p)
                 state.add(float(row[-1]))
         if at is not None:
-            yield pd.DataFrame([(*at, state.value())], columns=[*keys, "estimate"])
+            yield pd.DataFrame([(*at, *state.row())], columns=columns)
 
+    columns = [*keys, "estimate", "n", "low", "high", "markers"]
     rows = df.where(F.col(value).isNotNull()).select(*keys, *order, F.col(value).cast("double").alias("_v"))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fold, f"{kinds}, estimate double")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fold, f"{kinds}, estimate double, n long, low double, high double, markers array<double>")
+
+
+def between_markers(markers: Column, p: float) -> Column:
+    """Another percentile than the one the markers follow: linear between them, as if they stood at quarters."""
+    at = min(max(p, 0.0), 1.0) * 4
+    i = min(int(at), 3)
+    low, high = F.element_at(markers, i + 1), F.element_at(markers, i + 2)
+    return F.when(F.size(markers) == 5, low + (high - low) * (at - i)).otherwise(F.element_at(markers, F.greatest(F.lit(1), F.ceil(F.size(markers) * p).cast("int"))))
 
 
 class Markers:
@@ -140,6 +219,10 @@ class Markers:
                 h[i] = curve if h[i - 1] < curve < h[i + 1] else h[i] + d * (h[i + d] - h[i]) / (n[i + d] - n[i])
                 n[i] += d
 
+    def row(self) -> tuple:
+        heights = self.height or sorted(self.first)
+        return self.value(), self.place[4] if self.height else len(self.first), heights[0], heights[-1], heights
+
     def value(self) -> float:
         if self.height:
             return self.height[2]

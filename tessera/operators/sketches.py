@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def digest_hash(seed: Column, item: Column) -> Column:
+    """A hash that other systems can compute too: 60 bits of the MD5 of ``seed:item``."""
+    text = F.concat(seed.cast("string"), F.lit(":"), item.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def bloom_shape(items: int, fpr: float = 0.01) -> tuple[int, int]:
     """Bits and hashes for a number of items at a false-positive rate."""
     if items <= 0 or not 0 < fpr < 1:
@@ -16,9 +22,9 @@ def bloom_shape(items: int, fpr: float = 0.01) -> tuple[int, int]:
     return bits, min(20, max(1, math.ceil(bits / items * math.log(2))))
 
 
-def bloom_positions(item: Column, bits: int, hashes: int, seed: int = 0) -> Column:
+def bloom_positions(item: Column, bits: int, hashes: int, seed: int = 0, hash_=F.xxhash64) -> Column:
     """The array of bit positions of an item: two hashes combined, the second odd."""
-    h1, h2 = F.pmod(F.xxhash64(F.lit(seed), item), F.lit(bits)), F.pmod(F.xxhash64(F.lit(seed + 1), item).bitwiseOR(F.lit(1)), F.lit(bits))
+    h1, h2 = F.pmod(hash_(F.lit(seed), item), F.lit(bits)), F.pmod(hash_(F.lit(seed + 1), item).bitwiseOR(F.lit(1)), F.lit(bits))
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h1 + i * h2, F.lit(bits)))
 
 
@@ -27,9 +33,9 @@ def _bit() -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
 
 
-def bloom(df: DataFrame, item: Column, bits: int, hashes: int, seed: int = 0) -> DataFrame:
+def bloom(df: DataFrame, item: Column, bits: int, hashes: int, seed: int = 0, hash_=F.xxhash64) -> DataFrame:
     """The set bits of a filter as words: word, mask. Built by a partial and a final OR."""
-    at = df.where(item.isNotNull()).select(F.explode(bloom_positions(item, bits, hashes, seed)).alias("bit"))
+    at = df.where(item.isNotNull()).select(F.explode(bloom_positions(item, bits, hashes, seed, hash_)).alias("bit"))
     word, mask = F.expr("bit div 64").alias("word"), _bit().alias("mask")
     return at.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("mask"))
 
@@ -38,20 +44,27 @@ def bloom_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.union(b).groupBy("word").agg(F.bit_or("mask").alias("mask"))
 
 
-def bloom_probe(df: DataFrame, item: Column, sketch: DataFrame, bits: int, hashes: int, seed: int = 0) -> DataFrame:
+def bloom_probe(df: DataFrame, item: Column, sketch: DataFrame, bits: int, hashes: int, seed: int = 0, hash_=F.xxhash64) -> DataFrame:
     """``df`` with ``maybe``: whether all bits of the item are set. The filter's words are joined by number, not collected."""
     rows = df.withColumn("_row", F.monotonically_increasing_id())
-    at = rows.select("_row", F.explode(F.array_distinct(bloom_positions(item, bits, hashes, seed))).alias("bit"))
+    at = rows.select("_row", F.explode(F.array_distinct(bloom_positions(item, bits, hashes, seed, hash_))).alias("bit"))
     hit = F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(_bit()) != 0
     seen = at.withColumn("word", F.expr("bit div 64")).join(sketch, "word", "left").groupBy("_row").agg(F.bool_and(hit).alias("maybe"))
     return rows.join(seen, "_row", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False))).drop("_row")
 
 
+def bloom_semi_join(df: DataFrame, key: str, other: DataFrame, bits: int, hashes: int, seed: int = 0) -> DataFrame:
+    """Rows of ``df`` whose key is in ``other``: the filter drops most others before the exact join moves any row."""
+    keys = other.select(key).distinct()
+    maybe = bloom_probe(df, F.col(key), bloom(keys, F.col(key), bits, hashes, seed), bits, hashes, seed).where("maybe").drop("maybe")
+    return maybe.join(keys, key, "left_semi")
+
+
 def bloom_stats(sketch: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """One row: set bits, fill ratio, items estimated from the fill, modelled false-positive rate."""
+    """One row: set bits, fill ratio, items estimated from the fill, modelled false-positive rate, bytes of the bits."""
     filled = sketch.agg(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)).cast("long").alias("set_bits"))
     fill = F.col("set_bits") / bits
-    return filled.select("set_bits", fill.alias("fill_ratio"), F.when(fill < 1, F.rint(-(bits / hashes) * F.log(1 - fill))).cast("long").alias("items"), F.pow(fill, F.lit(hashes)).alias("false_positive_rate"))
+    return filled.select("set_bits", fill.alias("fill_ratio"), F.when(fill < 1, F.rint(-(bits / hashes) * F.log(1 - fill))).cast("long").alias("items"), F.pow(fill, F.lit(hashes)).alias("false_positive_rate"), F.lit(8 * -(-bits // 64)).cast("long").alias("bytes"))
 
 
 MOST = 4_294_967_295
@@ -62,21 +75,21 @@ def cms_shape(error: float, confidence: float = 0.99) -> tuple[int, int]:
     return 1 << math.ceil(math.log2(math.e / error)), math.ceil(math.log(1 / (1 - confidence)))
 
 
-def _rows(item: Column, width: int, depth: int, seed: int) -> Column:
-    return F.array(*[F.struct(F.lit(d).alias("row"), F.pmod(F.xxhash64(F.lit(seed * 1000 + d), item), F.lit(width)).alias("cell")) for d in range(depth)])
+def _rows(item: Column, width: int, depth: int, seed: int, hash_) -> Column:
+    return F.array(*[F.struct(F.lit(d).alias("row"), F.pmod(hash_(F.lit(seed * 1000 + d), item), F.lit(width)).alias("cell")) for d in range(depth)])
 
 
-def count_min(df: DataFrame, item: Column, width: int = 1024, depth: int = 4, seed: int = 0, count: Column | None = None) -> DataFrame:
+def count_min(df: DataFrame, item: Column, width: int = 1024, depth: int = 4, seed: int = 0, count: Column | None = None, hash_=F.xxhash64) -> DataFrame:
     """Cells of a count-min table: row, cell, count. At most depth x width rows, so it may be broadcast."""
     n = F.lit(1) if count is None else count
     sums = df.where(item.isNotNull()).groupBy(item.alias("item")).agg(F.sum(n).cast("long").alias("n"))
-    cells = sums.select(F.explode(_rows(F.col("item"), width, depth, seed)).alias("c"), "n")
+    cells = sums.select(F.explode(_rows(F.col("item"), width, depth, seed, hash_)).alias("c"), "n")
     return cells.groupBy("c.row", "c.cell").agg(F.least(F.sum("n"), F.lit(MOST)).cast("long").alias("count"))
 
 
-def cms_estimate(items: DataFrame, item: Column, sketch: DataFrame, width: int, depth: int, seed: int = 0) -> DataFrame:
+def cms_estimate(items: DataFrame, item: Column, sketch: DataFrame, width: int, depth: int, seed: int = 0, hash_=F.xxhash64) -> DataFrame:
     """``items`` with ``estimate``: the least of their cells."""
-    at = items.withColumn("_i", F.monotonically_increasing_id()).withColumn("_c", F.explode(_rows(item, width, depth, seed)))
+    at = items.withColumn("_i", F.monotonically_increasing_id()).withColumn("_c", F.explode(_rows(item, width, depth, seed, hash_)))
     at = at.withColumns({"row": F.col("_c.row"), "cell": F.col("_c.cell")}).drop("_c").join(F.broadcast(sketch), ["row", "cell"], "left")
     keep = [c for c in items.columns]
     return at.groupBy("_i", *keep).agg(F.min(F.coalesce("count", F.lit(0))).alias("estimate")).drop("_i")
@@ -103,10 +116,10 @@ def cms_scale(sketch: DataFrame, factor: float) -> DataFrame:
 
 
 def cms_stats(spark: SparkSession, sketch: DataFrame, width: int, depth: int) -> DataFrame:
-    """Least, greatest and mean cell and share of cells in use, over all cells, empty ones too."""
+    """Least, greatest and mean cell, share of cells in use, all counts, greatest error and bytes, over all cells, empty ones too."""
     n = width * depth
     got = sketch.agg(F.count_if(F.col("count") > 0).alias("used"), F.max("count").alias("high"), F.sum("count").alias("total"), F.min("count").alias("least"))
-    return got.select(F.when(F.col("used") < n, 0).otherwise(F.col("least")).cast("long").alias("low"), F.coalesce("high", F.lit(0)).cast("long").alias("high"), (F.coalesce("total", F.lit(0)) / n).alias("mean"), (F.col("used") / n).alias("fill"))
+    return got.select(F.when(F.col("used") < n, 0).otherwise(F.col("least")).cast("long").alias("low"), F.coalesce("high", F.lit(0)).cast("long").alias("high"), (F.coalesce("total", F.lit(0)) / n).alias("mean"), (F.col("used") / n).alias("fill"), (F.coalesce("total", F.lit(0)) / depth).alias("counted"), (F.coalesce("total", F.lit(0)) / depth * F.lit(math.e / width)).alias("max_error"), F.lit(4 * n).cast("long").alias("bytes"))
 
 
 def hll(item: Column, bucket_bits: int = 12) -> Column:
@@ -114,6 +127,12 @@ def hll(item: Column, bucket_bits: int = 12) -> Column:
     return F.hll_sketch_agg(item, F.lit(bucket_bits))
 
 
+def hll_stats(sketches: DataFrame, sketch: str, bucket_bits: int = 12) -> DataFrame:
+    """``sketches`` with estimate, standard error, registers and the bytes that the sketch takes now."""
+    new = {"estimate": F.hll_sketch_estimate(sketch), "standard_error": F.lit(hll_error(bucket_bits)), "registers": F.lit(1 << bucket_bits), "bytes": F.octet_length(sketch)}
+    return sketches.withColumns(new)
+
+
 def hll_error(bucket_bits: int = 12) -> float:
     return 1.04 / math.sqrt(1 << bucket_bits)
 

@@ -117,3 +117,8 @@ def close_in_space(df: DataFrame, id_: str, r: float, x: str = "x", y: str = "y"
     left = left.withColumns({"_cx": cell(F.col("x"), r), "_cy": cell(F.col("y"), r)})
     right = right.withColumn("_cx", reach("x2")).withColumn("_cy", reach("y2"))
     return left.join(right, ["_cx", "_cy", "_cz"]).where(near & (F.col("a") < F.col("b"))).select("a", "b")
+
+
+def without(df: DataFrame, gone: DataFrame, id_: str) -> DataFrame:
+    """Points (or boxes) but those removed, by id."""
+    return df.join(gone.select(id_), id_, "left_anti")

@@ -19,15 +19,16 @@ def trade(spark, d):
     return v, e
 
 
-_LINKS = """(SELECT p_partkey AS src, (p_partkey * 7 + 3) % 1000 AS dst, 1.0 + p_size AS weight FROM part
-    UNION ALL SELECT p_partkey, (p_partkey * 3 + 1) % 1000, 20.0 + p_size FROM part)"""
+_LINKS = """(SELECT p_partkey AS src, (p_partkey * 7 + 3) % n AS dst, 1.0 + p_size AS weight FROM part, (SELECT count(*) AS n FROM part)
+    UNION ALL SELECT p_partkey, (p_partkey * 3 + 1) % n, 20.0 + p_size FROM part, (SELECT count(*) AS n FROM part))"""
 
 
 def links(spark, d):
-    """A graph over parts with two edges from each."""
+    """A graph over all parts with two edges from each."""
     p = load(spark, d, "part")
-    k, s = F.col("p_partkey"), F.col("p_size")
-    e = p.select(k.alias("src"), ((k * 7 + 3) % 1000).alias("dst"), (s + 1.0).alias("weight")).union(p.select(k, (k * 3 + 1) % 1000, s + 20.0))
+    k, s, n = F.col("p_partkey"), F.col("p_size"), F.col("n")
+    both = p.join(F.broadcast(p.agg(F.count("*").alias("n"))))
+    e = both.select(k.alias("src"), ((k * 7 + 3) % n).alias("dst"), (s + 1.0).alias("weight")).union(both.select(k, (k * 3 + 1) % n, s + 20.0))
     return p.select(k.alias("id")), e
 
 
@@ -60,16 +61,19 @@ def nodes_within_distance(spark, d):
     return graph.distances(links(spark, d)[1], src, most=140).where("id <> source").select("id", "distance")
 
 
-@query(_DIST.format(140) + "SELECT dist AS total_weight FROM r WHERE id = 73")
+# Before each vertex on the way the smallest id of those that give its distance.
+_WAY = ", p AS (SELECT a.id, min(e.src) AS via FROM {r} a JOIN e ON e.dst = a.id AND e.src <> a.id JOIN {r} b ON b.id = e.src AND b.{x} + {w} = a.{x} WHERE a.id <> 1 GROUP BY a.id), w AS (SELECT CAST({end} AS BIGINT) AS id, [CAST({end} AS BIGINT)] AS path UNION ALL SELECT p.via, list_prepend(p.via, w.path) FROM w JOIN p ON p.id = w.id) "
+
+
+@query(_DIST.format(140) + _WAY.format(r="r", x="dist", w="e.w", end=73) + "SELECT path, dist AS total_weight, CAST(len(path) AS INTEGER) AS length FROM w, r WHERE w.id = 1 AND r.id = 73")
 def shortest_path_weight(spark, d):
-    return graph.shortest_path(spark, links(spark, d)[1], 1, 73).select("total_weight")
+    return graph.shortest_path(spark, links(spark, d)[1], 1, 73)
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_LINKS}), b AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hops UNION SELECT e.dst, hops + 1 FROM b JOIN e ON e.src = b.id WHERE hops < 9)
-    SELECT CAST(min(hops) AS DOUBLE) AS total_weight, CAST(min(hops) + 1 AS INTEGER) AS length FROM b WHERE id = 514 HAVING count(*) > 0""")
+    , h AS (SELECT id, min(hops) AS hops FROM b GROUP BY id)""" + _WAY.format(r="h", x="hops", w="1", end=94) + "SELECT path, CAST(hops AS DOUBLE) AS total_weight, CAST(len(path) AS INTEGER) AS length FROM w, h WHERE w.id = 1 AND h.id = 94")
 def shortest_unweighted(spark, d):
-    got = graph.shortest_path(spark, links(spark, d)[1], 1, 514, weighted=False)
-    return got.where("total_weight <= 9").select("total_weight", "length")
+    return graph.shortest_path(spark, links(spark, d)[1], 1, 94, weighted=False)
 
 
 @query(f"""WITH e AS (SELECT DISTINCT src, dst FROM {_LINKS} WHERE src <> dst), k AS (SELECT src AS id, count(*) AS k FROM e GROUP BY src),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import collections as C
 from tessera.operators import keyed
-from tessera.plans.registry import query
+from tessera.plans import lookups  # noqa: F401  registers the cache whose SQL serves here too
+from tessera.plans.registry import ORACLES, query
 from tessera.sources.tables import load, micros
 from tessera.streaming import feeds
 
@@ -19,22 +20,16 @@ def log(spark, d):
 _O = ["us", "event_id"]
 
 
-@query("SELECT user_id, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 20")
+@query("SELECT user_id, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id ORDER BY max([epoch_us(ts), event_id]) DESC, user_id LIMIT 20")
 def lru_content(spark, d):
     return keyed.lru(log(spark, d), "user_id", _O, 20).select("user_id", "last_us")
 
 
-@query("SELECT user_id, max(epoch_us(ts)) AS last_us FROM events WHERE event_type = 'purchase' GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 20")
+@query("SELECT user_id, max(epoch_us(ts)) AS last_us FROM events WHERE event_type = 'purchase' GROUP BY user_id ORDER BY max([epoch_us(ts), event_id]) DESC, user_id LIMIT 20")
 def lru_by_write(spark, d):
     return keyed.last_writes(log(spark, d), "user_id", _O, 20, F.col("event_type") == "purchase").select("user_id", "last_us")
 
 
-@query()
-def fifo_cache(spark, d):
-    """What a FIFO of three users holds for each event type after the log; folds are beyond SQL."""
-    return keyed.fifo(log(spark, d), ["event_type"], "user_id", _O, 3)
-
-
 @query("SELECT arg_min(user_id, f) AS oldest, arg_max(user_id, f) AS newest FROM (SELECT user_id, min(epoch_us(ts)) AS f FROM events GROUP BY user_id)")
 def cache_ends(spark, d):
     return keyed.ends(log(spark, d), "user_id", _O)
@@ -45,7 +40,7 @@ def recent_window(spark, d):
     return keyed.recent(log(spark, d), _O, 50).select("event_id", "user_id")
 
 
-_C = "(SELECT user_id, count(*) AS n, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id)"
+_C = "(SELECT user_id, count(*) AS n, max([epoch_us(ts), event_id]) AS last_us FROM events GROUP BY user_id)"
 
 
 def _counted(spark, d):
@@ -99,7 +94,7 @@ def multimap_counts(spark, d):
     return load(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("role").alias("roles"))
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_type, [epoch_us(ts), event_id]) AS event_type, arg_max(value, [epoch_us(ts), event_id]) AS value FROM events GROUP BY user_id")
 def upsert_last_wins(spark, d):
     return keyed.last_wins(log(spark, d), "user_id", _O).select("user_id", "event_type", "value")
 
@@ -152,10 +147,11 @@ def array_swap_remove(spark, d):
 
 
 def _users(spark, d, kind):
-    return load(spark, d, "events").where((F.col("event_type") == kind) & (F.col("value") > 150)).select("user_id").distinct()
+    """On which days each user did a kind of thing: user_id, day."""
+    return log(spark, d).where(F.col("event_type") == kind).select("user_id", F.expr("us div 86400000000").alias("day")).distinct()
 
 
-_U = "(SELECT DISTINCT user_id FROM events WHERE event_type = '{}' AND value > 150)"
+_U = "(SELECT DISTINCT user_id, epoch_us(ts) // 86400000000 AS day FROM events WHERE event_type = '{}')"
 _CL, _PU = _U.format("click"), _U.format("purchase")
 
 
@@ -242,18 +238,47 @@ def stream_filtered_feed(spark, d):
     return feeds.filtered(spark, d, "events", "event_type = 'purchase' AND value > 50").select("event_id", "user_id", "value")
 
 
-@query("SELECT user_id, count(*) AS n, arg_max(event_type, ts) AS last_type FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, arg_max(event_type, [epoch_us(ts), event_id]) AS last_type FROM events GROUP BY user_id")
 def stream_latest_state(spark, d):
     """Counts and latest states of keys, upserted batch by batch."""
     return feeds.latest_states(spark, d, "events", "user_id", ["ts", "event_id"], "event_type").select("user_id", "n", F.col("latest").alias("last_type"))
 
 
-@query()
+@query(ORACLES["fifo_cache"])
 def stream_fifo(spark, d):
-    """The FIFO of ``fifo_cache`` over a log that a stream appends; folds are beyond SQL."""
+    """The FIFO of ``fifo_cache`` over a log that a stream appends."""
     return feeds.fifo(spark, d, "events", "event_type", "user_id", ["ts", "event_id"], 3)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, d):
     return feeds.deduplicated(spark, d, "events", "ts", ["user_id", "event_type"])
+
+
+@query("""WITH t AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id), b AS (SELECT DISTINCT c_custkey AS user_id FROM customer)
+    SELECT coalesce(b.user_id, t.user_id) AS user_id FROM b FULL JOIN t ON t.user_id = b.user_id WHERE (CASE WHEN b.user_id IS NULL THEN 0 ELSE 1 END + coalesce(n, 0)) % 2 = 1""")
+def set_toggle(spark, d):
+    """Customers, put in or taken out by each purchase."""
+    base = load(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return C.toggle(base, load(spark, d, "events").where("event_type = 'purchase'").select("user_id"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE NOT coalesce(c_acctbal < 0 OR c_mktsegment = 'MACHINERY', FALSE)")
+def set_remove_where(spark, d):
+    gone = (F.col("c_acctbal") < 0) | (F.col("c_mktsegment") == "MACHINERY")
+    return C.remove_where(load(spark, d, "customer"), gone).select("c_custkey", "c_acctbal")
+
+
+@query("SELECT conv_id, t[1] AS first_turn, t[-1] AS last_turn, CAST(coalesce(list_position(t, 2), 0) - 1 AS INTEGER) AS place_of_2, list_contains(t, 3) AS has_3, list_transform(t, lambda x: x * 10) AS tens, t[2:] AS without_first FROM (SELECT conv_id, list(turn ORDER BY turn) AS t FROM conversations GROUP BY conv_id)")
+def array_reads(spark, d):
+    """Reads of small sequences: ends, place of a value (-1 where it is missing), membership, a map, a removal."""
+    a = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
+    t = F.col("t")
+    return a.select("conv_id", F.element_at(t, 1).alias("first_turn"), F.element_at(t, -1).alias("last_turn"), (F.array_position(t, 2) - 1).cast("int").alias("place_of_2"), F.array_contains(t, 3).alias("has_3"), F.transform(t, lambda x: x * 10).alias("tens"), C.remove_at(t, 0).alias("without_first"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, TRUE AS notified FROM events")
+def stream_batches(spark, d):
+    """A long append that notifies batch by batch."""
+    got = feeds.appended(spark, d, "events")
+    return got.agg(F.sum("rows").alias("rows"), (F.count("*") >= 1).alias("notified"))

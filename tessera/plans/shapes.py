@@ -183,9 +183,9 @@ def rect_area_increase(spark, d):
     return rects(spark, d).select("key", F.round(S.area_increase(S.rect(), (10, 920, 30, 950)), 6).alias("increase"))
 
 
-@query(f"SELECT id FROM {_P} WHERE abs(x - 25) < 0.5 AND abs(y - 950) < 0.5")
+@query(f"SELECT id FROM {_P} WHERE abs(x - 25) < 4.5 AND abs(y - 950) < 4.5")
 def points_at(spark, d):
-    return spatial.at_point(points(spark, d), "x", "y", 25, 950, 0.5).select("id")
+    return spatial.at_point(points(spark, d), "x", "y", 25, 950, 4.5).select("id")
 
 
 @query(f"SELECT id FROM {_P} WHERE floor(x / 8) = 3 AND floor(y / 8) = 118")

@@ -51,7 +51,7 @@ def theta_intersection_bound(spark, d):
 
 def _bloom(spark, d):
     inside = load(spark, d, "labels").select(F.col("doc_id"))
-    bits, k = sketches.bloom_shape(50_000, 0.01)
+    bits, k = sketches.bloom_shape(max(1, inside.count()), 0.01)
     return inside, sketches.bloom(inside, F.col("doc_id"), bits, k), bits, k
 
 
@@ -124,3 +124,76 @@ def cms_heavy(spark, d):
     o, _, est, sketch = _cms(spark, d)
     got = sketches.cms_frequency(est, sketch, _D, 0.001).join(F.broadcast(o.agg(F.count("*").alias("total"))))
     return got.where(F.col("n") >= 0.001 * F.col("total")).select("o_custkey", F.col("heavy").alias("heavy_found"))
+
+
+# Sketches over a hash that SQL can compute too: their very content is compared, not only their bounds.
+_H = "('0x' || substr(md5('{}:' || {}), 1, 15))::BIGINT"
+_SHAPE = """n AS (SELECT count(DISTINCT doc_id) AS n FROM labels), s AS (SELECT n, CAST(ceil(-n * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) AS bits FROM n),
+    k AS (SELECT n, bits, CAST(least(20, greatest(1, ceil(bits / n::DOUBLE * ln(2)))) AS BIGINT) AS k FROM s)"""
+_PLACES = "SELECT DISTINCT doc_id, ({} % bits + i * (({} | 1) % bits)) % bits AS bit FROM {{}}, k, range(0, 20) r(i) WHERE i < k".format(_H.format(0, "doc_id"), _H.format(1, "doc_id"))
+_SET = f"WITH {_SHAPE}, b AS (SELECT DISTINCT bit FROM ({_PLACES.format('labels')}))"
+
+
+def _portable(spark, d):
+    inside = load(spark, d, "labels").select("doc_id").distinct()
+    bits, k = sketches.bloom_shape(inside.count(), 0.01)
+    return inside, sketches.bloom(inside, F.col("doc_id"), bits, k, hash_=sketches.digest_hash), bits, k
+
+
+@query(f"{_SET} SELECT doc_id, count(b.bit) = count(*) AS maybe FROM ({_PLACES.format('documents')}) p LEFT JOIN b ON b.bit = p.bit GROUP BY doc_id")
+def bloom_probe(spark, d):
+    """What a filter of the labelled ids says of every document, false positives and all."""
+    _, sketch, bits, k = _portable(spark, d)
+    docs = load(spark, d, "documents").select("doc_id").distinct()
+    return sketches.bloom_probe(docs, F.col("doc_id"), sketch, bits, k, hash_=sketches.digest_hash).select("doc_id", "maybe")
+
+
+@query(f"""{_SET}, f AS (SELECT count(*) AS set_bits FROM b) SELECT set_bits, round(set_bits / bits::DOUBLE, 9) AS fill_ratio, CAST(round_even(-(bits / k::DOUBLE) * ln(1 - set_bits / bits::DOUBLE), 0) AS BIGINT) AS items,
+    round(pow(set_bits / bits::DOUBLE, k), 9) AS false_positive_rate, 8 * ((bits + 63) // 64) AS bytes FROM f, k""")
+def bloom_stats(spark, d):
+    _, sketch, bits, k = _portable(spark, d)
+    got = sketches.bloom_stats(sketch, bits, k)
+    return got.withColumns({c: F.round(c, 9) for c in ("fill_ratio", "false_positive_rate")})
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def bloom_semi_join(spark, d):
+    """Documents of good labels: a filter in front of the exact join."""
+    good = load(spark, d, "labels").where("quality = 1").select("doc_id")
+    bits, k = sketches.bloom_shape(max(1, good.count()), 0.01)
+    return sketches.bloom_semi_join(load(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id", good, bits, k)
+
+
+_WIDTH, _DEPTH = sketches.cms_shape(0.02, 0.98)
+_CMS = f"""WITH e AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT o_custkey, n, d, CASE {' '.join(f"WHEN d = {i} THEN {_H.format(i, 'o_custkey')}" for i in range(_DEPTH))} END % {_WIDTH} AS cell FROM e, range(0, {_DEPTH}) s(d)),
+    c AS (SELECT d, cell, CAST(sum(n) AS BIGINT) AS count FROM r GROUP BY d, cell)"""
+
+
+def _portable_cms(spark, d):
+    o = load(spark, d, "orders")
+    sketch = sketches.count_min(o, F.col("o_custkey"), _WIDTH, _DEPTH, hash_=sketches.digest_hash)
+    exact = o.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return sketch, sketches.cms_estimate(exact, F.col("o_custkey"), sketch, _WIDTH, _DEPTH, hash_=sketches.digest_hash)
+
+
+@query(f"""{_CMS}, t AS (SELECT count(*) AS total FROM orders) SELECT o_custkey, n, min(count) AS estimate, round(min(count) / any_value(total)::DOUBLE, 9) AS frequency, min(count) / any_value(total)::DOUBLE >= 0.01 AS heavy
+    FROM r JOIN c USING (d, cell), t GROUP BY o_custkey, n""")
+def cms_frequency(spark, d):
+    """Estimates and shares of a table shaped by its error, and which items are heavy by them."""
+    sketch, est = _portable_cms(spark, d)
+    return sketches.cms_frequency(est, sketch, _DEPTH, 0.01).select("o_custkey", "n", "estimate", F.round("frequency", 9).alias("frequency"), "heavy")
+
+
+@query(f"""{_CMS} SELECT {_WIDTH} AS width, {_DEPTH} AS depth, CASE WHEN count(*) < {_WIDTH * _DEPTH} THEN 0 ELSE min(count) END AS low, max(count) AS high, round(sum(count) / {_WIDTH * _DEPTH}.0, 9) AS mean, round(count(*) / {_WIDTH * _DEPTH}.0, 9) AS fill,
+    round(sum(count) / {_DEPTH}.0, 6) AS counted, round(sum(count) / {_DEPTH}.0 * exp(1) / {_WIDTH}, 6) AS max_error, CAST({4 * _WIDTH * _DEPTH} AS BIGINT) AS bytes FROM c""")
+def cms_stats(spark, d):
+    got = sketches.cms_stats(spark, _portable_cms(spark, d)[0], _WIDTH, _DEPTH)
+    return got.select(F.lit(_WIDTH).alias("width"), F.lit(_DEPTH).alias("depth"), "low", "high", F.round("mean", 9).alias("mean"), F.round("fill", 9).alias("fill"), F.round("counted", 6).alias("counted"), F.round("max_error", 6).alias("max_error"), "bytes")
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, round(1.04 / 64, 9) AS standard_error, 4096 AS registers, TRUE AS within_bound, TRUE AS small FROM lineitem GROUP BY l_returnflag")
+def hll_stats(spark, d):
+    """Estimate, error and size of distinct-count sketches."""
+    g = load(spark, d, "lineitem").groupBy("l_returnflag").agg(sketches.hll(F.col("l_partkey"), _BITS).alias("s"), F.count_distinct("l_partkey").alias("exact"))
+    got = sketches.hll_stats(g, "s", _BITS)
+    return got.select("l_returnflag", "exact", F.round("standard_error", 9).alias("standard_error"), "registers", _close(F.col("estimate"), F.col("exact")).alias("within_bound"), F.col("bytes").between(1, 2 * (1 << _BITS)).alias("small"))

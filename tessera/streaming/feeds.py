@@ -92,3 +92,14 @@ def deduplicated(spark: SparkSession, folder: str, table: str, ts: str, keys: li
     once = (rows.dropDuplicatesWithinWatermark(keys) if delay else rows.dropDuplicates(keys)).select(*keys)
     _run(once.writeStream.format("parquet").option("path", f"{path}/data"), path)
     return spark.read.schema(once.schema).parquet(f"{path}/data")
+
+
+def appended(spark: SparkSession, folder: str, table: str, files_per_batch: int = FILES) -> DataFrame:
+    """A long append in batches, each of which is one notification: batch, rows. The stream can be stopped between batches."""
+    path = _folder(spark, "appended")
+
+    def note(batch: DataFrame, number: int) -> None:
+        batch.agg(F.count("*").alias("rows")).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/notes/number={number}")
+
+    _run(stream(spark, folder, table, files_per_batch).writeStream.foreachBatch(note), path)
+    return spark.read.parquet(f"{path}/notes").select("batch", "rows")
