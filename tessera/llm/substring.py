@@ -16,11 +16,13 @@ Where the anchor is the whole window, a shard is one window, so the rounds end,
 
 Rows are told apart by id and text hash, so repeated ids do no harm; repeated rows are occurrences of each other. Null and
 short texts have no windows and are kept whole. Empty tables give no rows. Other columns pass through; new columns are
-n_words, n_removed and kept (the kept words joined by one space), which replace columns of those names.
+n_words, n_removed, kept (the kept words joined by one space) and remains (the text without the removed words, what stands
+between the others as it was), which replace columns of those names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import BASE, OTHER, Scratch, discard, hashed_words, maybe_among, mix, range_hash, words
+from tessera.llm._shared import BASE, OTHER, Scratch, discard, hashed_words, maybe_among, mix, range_hash, utf8, words
 from tessera.llm.suffix import SuffixAutomaton
 
 LENGTH, GRAM = 35, 12
 #: Distinct passages of one anchor that a shard may hold, and words of the passages that make one automaton.
 CROWD, SHARD_WORDS = 256, 20_000
 
+NEW = ("n_words", "n_removed", "kept", "remains")
 _BITS = np.uint64(26)  # of a word's position in a chunk of texts
 
 
@@ -181,13 +184,24 @@ def repeated_windows(df: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     return starts
 
 
+_RUN = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
+
+
+def without(text: bytes, keep: np.ndarray) -> bytes:
+    """A text of which only the words marked remain, each with the white space before it; none at the beginning if words go there."""
+    runs = _RUN.findall(text)
+    end = text[sum(map(len, runs)) :]
+    out = b"".join(r for r, k in zip(runs, keep.tolist(), strict=True) if k) + end
+    return out if not len(keep) or keep[0] else out.lstrip(b" \t\n\x0b\x0c\r")
+
+
 def _keep(length: int):
-    @F.pandas_udf("n_words long, n_removed long, kept string")
+    @F.pandas_udf("n_words long, n_removed long, kept string, remains string")
     def keep(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         out = []
         for t, s in zip(texts, starts, strict=True):
             ws = words(t)
-            removed = 0
+            removed, rest = 0, t
             if s is not None and len(s):
                 edge = np.zeros(len(ws) + 1, dtype=np.int64)
                 s = np.unique(np.asarray(s, dtype=np.int64))
@@ -195,17 +209,18 @@ def _keep(length: int):
                 np.subtract.at(edge, s + length, 1)
                 keep = np.cumsum(edge[:-1]) == 0
                 removed = len(ws) - int(keep.sum())
+                rest = without(utf8(t), keep).decode("utf-8", "surrogatepass")
                 ws = [ws[i] for i in np.flatnonzero(keep)]
-            out.append((len(ws) + removed, removed, b" ".join(ws).decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+            out.append((len(ws) + removed, removed, b" ".join(ws).decode("utf-8", "surrogatepass"), rest))
+        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "remains"])
 
     return keep
 
 
 def deduplicate(df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``df`` with n_words, n_removed and kept."""
+    """``df`` with n_words, n_removed, kept and remains."""
     d, th, at = "_tessera_d", "_tessera_th", "_tessera_starts"  # apart from columns that pass through
-    keyed = df.drop("n_words", "n_removed", "kept").withColumns({d: F.coalesce(F.col(id_).cast("long"), F.lit(0)), th: F.xxhash64(F.col(text))})
+    keyed = df.drop(*NEW).withColumns({d: F.coalesce(F.col(id_).cast("long"), F.lit(0)), th: F.xxhash64(F.col(text))})
     starts = repeated_windows(keyed.select(F.col(d).alias("_d"), F.col(th).alias("_th"), F.col(text).alias("text"), F.lit(1).cast("long").alias("copies")), length, gram, crowd, shard_words)
     got = keyed.join(starts.withColumnsRenamed({"_d": d, "_th": th, "starts": at}), [d, th], "left").withColumn("_tessera_kept", _keep(length)(F.col(text), F.col(at)))
-    return got.withColumns({x: F.col(f"_tessera_kept.{x}") for x in ("n_words", "n_removed", "kept")}).drop(d, th, at, "_tessera_kept")
+    return got.withColumns({x: F.col(f"_tessera_kept.{x}") for x in NEW}).drop(d, th, at, "_tessera_kept")

@@ -46,10 +46,17 @@ def brute_substring(rows, length=35):
 @pytest.mark.parametrize("crowd", [1024, 1])
 def test_substring(docs, rows, crowd):
     got = substring.deduplicate(docs, crowd=crowd)
-    assert got.columns == [*docs.columns, "n_words", "n_removed", "kept"]
+    assert got.columns == [*docs.columns, "n_words", "n_removed", "kept", "remains"]
+    assert all((r.remains or "").split() == r.kept.split() and (r.n_removed or r.remains == r.text) for r in got.collect() if "\u2028" not in (r.text or ""))
     assert collections.Counter(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept").collect())) == collections.Counter(brute_substring(rows))
 
 
+def test_what_remains_keeps_its_white_space():
+    text = b"  a b\n\nc d\te  "
+    assert substring.without(text, np.array([True, False, True, True, False])) == b"  a\n\nc d  "
+    assert substring.without(text, np.array([False, True, False, False, True])) == b"b\te  "
+
+
 def test_substring_other_lengths_and_empty(spark, none):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice("ab") for _ in range(rnd.randrange(0, 40)))) for i in range(40)]

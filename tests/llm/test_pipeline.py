@@ -6,6 +6,7 @@ import random
 import corpus_pipeline
 import pytest
 
+from tessera.llm import substring
 from tessera.llm._shared import hashed_words
 from tests import oracle
 from tests.llm import samples
@@ -32,8 +33,8 @@ def test_stages_keep_the_columns_and_survive(spark, docs):
 
 def test_one_of_each_group(spark, docs, rows):
     got = collections.Counter(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, oracle.DATA).collect())
-    keep = {i for i, _, c in brute_groups(rows) if i is not None and i == c}
-    assert got == collections.Counter(i for i, _ in rows if i is None or i in keep)
+    named = {row for row, (i, _, c) in zip(rows, brute_groups(rows, 5, 80), strict=True) if i is not None and i == c}
+    assert got == collections.Counter([i for i, _ in named] + [i for i, _ in rows if i is None])
 
 
 def kept_of(spark, rows):
@@ -69,11 +70,19 @@ def test_rows_without_an_id_or_of_two_texts(spark):
     assert got == collections.Counter([*stay, (None, *of_b), (None, c)])
 
 
+def test_exact_copies_leave_one_row(spark):
+    rnd = random.Random(11)
+    a, b = samples.sentence(rnd, 60), samples.sentence(rnd, 3)
+    assert kept_of(spark, [(1, a)] * 4 + [(2, a), (3, b), (3, b), (4, ""), (4, "")]) == collections.Counter([(1, a), (3, b), (4, "")])
+
+
 def test_repeats_leave_the_text(spark, docs, rows):
     got = collections.Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.drop_repeats(spark, docs, oracle.DATA).collect())
+    whole = {r.text: r.remains for r in substring.deduplicate(docs).collect()}
     want = collections.Counter()
     for (i, t), (_, _, gone, kept) in zip(rows, brute_substring(rows), strict=True):
-        new = kept if gone else t
+        new = whole[t] if gone else t
+        assert not gone or new.encode().split() == kept.encode().split()
         want[(i, new, None if new is None else len(new))] += 1
     assert got == want
 
