@@ -23,26 +23,27 @@ SHINGLE, PERCENT = 5, 80
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shingle similarity, directly or through others, the one with the smallest id.
 
-    Rows are judged by id and text, so another text of an id does not keep one that is linked elsewhere; rows alike in both
-    are one document and stay together. Rows without an id go if their group has an id, else one of the group stays. Texts
-    without words link with nothing and stay.
+    Rows are judged by id and text, so another text of an id does not keep one that is linked elsewhere; of rows alike in both
+    one stays. Rows without an id go if their group has an id, else one of the group stays. Texts without words link with
+    nothing and stay.
     """
     groups = ngram_join.groups(docs, shingle=SHINGLE, percent=PERCENT, rows_apart=True)
-    same = F.xxhash64(docs["text"]) == F.col("_kept_hash")
+    hashed = docs.withColumn("_kept_hash", F.xxhash64("text"))
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
-    out = docs.join(kept, (docs["doc_id"] == F.col("_kept_id")) & same, "left_semi")
-    unnamed, of_unnamed = docs.where("doc_id is null"), groups.where("doc_id is null and component_id is null")
+    # The join deals rows by id and hash, and so does the choice of one of them: the texts move once.
+    out = hashed.withColumn("_kept_id", F.col("doc_id")).join(kept, ["_kept_id", "_kept_hash"], "left_semi").dropDuplicates(["_kept_id", "_kept_hash"]).select(docs.columns)
+    unnamed, of_unnamed = hashed.where("doc_id is null"), groups.where("doc_id is null and component_id is null")
     wordless = of_unnamed.where("n_shingles = 0").select(F.col("text_hash").alias("_kept_hash")).distinct()
     first = of_unnamed.where("n_shingles > 0").groupBy("group").agg(F.min("text_hash").alias("_kept_hash"))
-    out = out.unionByName(unnamed.join(wordless, same, "left_semi"))
-    return out.unionByName(unnamed.join(first, same, "left_semi").dropDuplicates(["text"]))
+    out = out.unionByName(unnamed.join(wordless, "_kept_hash", "left_semi").select(docs.columns))
+    return out.unionByName(unnamed.join(first, "_kept_hash", "left_semi").dropDuplicates(["_kept_hash"]).select(docs.columns))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur elsewhere too; texts that hold none stay as they are."""
     got = substring.deduplicate(docs)
     changed = F.col("n_removed") > 0
-    got = got.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    got = got.withColumn("text", F.when(changed, F.col("remains")).otherwise(F.col("text")))
     return got.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
