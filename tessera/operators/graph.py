@@ -7,6 +7,7 @@ shared folder of the session), which cuts the lineage and survives lost executor
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +21,8 @@ def _cut(df: DataFrame) -> DataFrame:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+    done = df.checkpoint()
+    return done.select(*[F.col(c).alias(c) for c in done.columns])  # fresh attributes: the old ones' constraints may not fit a union
 
 
 def add_edges(vertices: DataFrame, edges: DataFrame, new: DataFrame, order: list[str], both_ways: bool = False) -> DataFrame:
@@ -70,7 +72,7 @@ def distances(edges: DataFrame, sources: DataFrame, weighted: bool = True, most:
     """Least distance from each source to each vertex it reaches: source, id, distance, via (the vertex before, the smallest of equals).
 
     sources: id. Rounds relax only from vertices whose distance fell. Weights have to be non-negative; ``most`` bounds the
-    distance; unweighted edges count 1. With a ``target`` the rounds end when nothing on the frontier is nearer than it.
+    distance; unweighted edges count 1. With a ``target``, for one source, the rounds end when nothing on the frontier is nearer than it.
     Rounds go on until the frontier is empty; if ``max_rounds`` end with a frontier left, that is an error.
     """
     w = F.col("weight").cast("double") if weighted else F.lit(1.0)
@@ -78,27 +80,43 @@ def distances(edges: DataFrame, sources: DataFrame, weighted: bool = True, most:
         w = F.when(F.assert_true(F.col("weight") >= 0, "weights must not be negative").isNull(), w)
     steps = edges.where("src <> dst").groupBy("src", "dst").agg(F.min(w).alias("w"))
     empty = F.lit(None).cast(steps.schema["src"].dataType)
-    known = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), empty.alias("via")))
-    frontier = known
+    at = ["source", "id"]
+    base = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), empty.alias("via")))
+    frontier, changed = base, []
+    found = None if target is None else base.where(F.col("id") == target).agg(F.min("distance")).first()[0]
+
+    def merged(parts: list[DataFrame]) -> DataFrame:
+        """The best known of each vertex: the least distance, of equals the smallest vertex before it."""
+        both = reduce(DataFrame.unionByName, parts).groupBy(*at).agg(F.min(F.struct("distance", "via")).alias("n"))
+        return both.select(*at, "n.distance", "n.via")
+
     for _ in count() if max_rounds is None else range(max_rounds):
         reach = frontier.join(steps, frontier["id"] == steps["src"]).select("source", F.col("dst").alias("id"), (F.col("distance") + F.col("w")).alias("distance"), F.col("src").alias("via"))
         if most is not None:
             reach = reach.where(F.col("distance") <= most)
-        best = reach.groupBy("source", "id").agg(F.min(F.struct("distance", "via")).alias("n")).select("source", "id", F.col("n.distance").alias("_d"), F.col("n.via").alias("_v"))
-        both = known.join(best, ["source", "id"], "full")
-        nearer = F.col("_d").isNotNull() & (F.col("distance").isNull() | (F.col("_d") < F.col("distance")))
-        tie = F.col("_d").eqNullSafe(F.col("distance")) & (F.col("_v") < F.col("via"))
-        merged = _cut(both.select("source", "id", F.when(nearer, F.col("_d")).otherwise(F.col("distance")).alias("distance"), F.when(nearer | tie, F.col("_v")).otherwise(F.col("via")).alias("via"), F.coalesce(nearer, F.lit(False)).alias("_new")))
-        known, frontier = merged.drop("_new"), merged.where("_new").drop("_new")
+        best = reach.groupBy(*at).agg(F.min(F.struct("distance", "via")).alias("n"))
+        # A round writes what it changed; the changes are merged into what was known every few rounds.
+        got = best.join(base.select(*at, F.struct("distance", "via").alias("k0")), at, "left")
+        if changed:  # a change is always for the better
+            got = got.join(merged(changed).select(*at, F.struct("distance", "via").alias("k1")), at, "left")
+        got = got.withColumn("k", F.coalesce("k1", "k0") if changed else F.col("k0"))
+        nearer = F.col("k").isNull() | (F.col("n.distance") < F.col("k.distance"))
+        tie = (F.col("n.distance") == F.col("k.distance")) & (F.col("n.via") < F.col("k.via"))
+        delta = _cut(got.where(nearer | tie).select(*at, "n.distance", "n.via", nearer.alias("_new")))
+        changed.append(delta.drop("_new"))
+        frontier = delta.where("_new").drop("_new")
+        if len(changed) == 8:
+            base, changed = _cut(merged([base, *changed])), []
         if target is not None:
-            found = merged.where(F.col("id") == target).agg(F.max("distance")).first()[0]
+            here = delta.where(F.col("id") == target).agg(F.min("distance")).first()[0]
+            found = here if found is None or here is not None and here < found else found
             if found is not None and frontier.where(F.col("distance") < found).isEmpty():
                 break
         if frontier.isEmpty():
             break
     else:
         raise RuntimeError(f"vertices are left to relax after {max_rounds} rounds")
-    return known
+    return merged([base, *changed]) if changed else base
 
 
 def shortest_path(spark: SparkSession, edges: DataFrame, start, end, weighted: bool = True) -> DataFrame:

@@ -158,7 +158,7 @@ def hex_path(cells_: DataFrame, start: tuple[int, int], goal: tuple[int, int]) -
         far *= 2
     length = on_path.agg(F.max("steps").alias("_n"))
     path = on_path.join(F.broadcast(length)).select((F.col("_n") - F.col("steps")).alias("step"), "at.q", "at.r")
-    return path.join(costs, ["q", "r"]).select("step", "q", "r", "cost")
+    return path.join(costs, ["q", "r"]).select("step", "q", "r", "cost").orderBy("step")
 
 
 def path_cost(path: DataFrame, cells_: DataFrame) -> DataFrame:

@@ -29,13 +29,24 @@ def approximate(value: str, qs: list[float], accuracy: int = 10_000) -> Column:
     return F.percentile_approx(value, qs, accuracy)
 
 
-def weighted(df: DataFrame, keys: list[str], value: str, weight: str, q: float) -> DataFrame:
-    """The least value whose cumulative weight reaches q of the total; equal values are summed before the window."""
-    sums = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+def weighted(df: DataFrame, keys: list[str], value: str, weight: str, q: float, buckets: int = 64) -> DataFrame:
+    """The least value whose cumulative weight reaches q of the total.
+
+    A sketch cuts a key's values into buckets, whose weights tell in which one the quantile lies; only that bucket's distinct
+    values are ordered.
+    """
+    rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    met = rows.alias("a").join(cuts.alias("b"), _same(keys)).select(*[F.col(f"a.{k}") for k in keys], "_v", "_w", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"))
     by = Window.partitionBy(*keys)
-    cum = F.sum("_w").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    reached = sums.select(*keys, value, (cum >= q * F.sum("_w").over(by)).alias("_ok")).where("_ok")
-    return reached.groupBy(*keys).agg(F.min(value).alias("quantile"))
+    upto = F.sum("_s").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    sums = met.groupBy(*keys, "_b").agg(F.sum("_w").alias("_s")).select(*keys, "_b", "_s", upto.alias("_c"), (q * F.sum("_s").over(by)).alias("_need"))
+    one = sums.where("_c >= _need").groupBy(*keys).agg(F.min_by(F.struct("_b", (F.col("_c") - F.col("_s")).alias("before"), "_need"), "_b").alias("_at"))
+    inside = met.alias("a").join(one.alias("b"), _same(keys) & (F.col("a._b") == F.col("b._at._b"))).select(*[F.col(f"a.{k}") for k in keys], "_v", "_w", "_at.before", "_at._need")
+    cells = inside.groupBy(*keys, "_v", "before", "_need").agg(F.sum("_w").alias("_w"))
+    cum = F.sum("_w").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    reached = cells.select(*keys, "_v", (F.col("before") + cum >= F.col("_need")).alias("_ok")).where("_ok")
+    return reached.groupBy(*keys).agg(F.min("_v").alias("quantile"))
 
 
 def cdf(value: str, x: float) -> Column:

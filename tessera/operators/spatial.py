@@ -59,8 +59,39 @@ def nearest(df: DataFrame, k: int, distance: Column, id_: str) -> DataFrame:
     return df.withColumn("distance", distance).orderBy("distance", id_).limit(k)
 
 
+def knn_places(queries: DataFrame, points: DataFrame, k: int, query_id: str, id_: str, qx: str = "qx", qy: str = "qy", x: str = "x", y: str = "y", levels: int = 32) -> DataFrame:
+    """The k nearest points in the plane of each query, exactly; ties to the smaller id. Adds distance2 and rank.
+
+    Cells double in size from level to level. A query takes the lowest level at which the nine cells around it hold k points,
+    so that the k-th lies within two cells' diagonals; the nine cells two levels higher reach further than that, and hold its
+    candidates. Counts of all levels come from those of the lowest, and points go out once for each level that a query takes.
+    """
+    bounds = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in (x, y) for f in (F.min, F.max)]).first()
+    wide = max(1e-12, *[float(bounds[f"max_{c}"] or 0) - float(bounds[f"min_{c}"] or 0) for c in (x, y)])
+    size = wide / max(1.0, (bounds.n / max(1, k)) ** 0.5)  # some k points a cell, were they even
+    shift = lambda c, up: F.call_function("shiftright", c, up)
+    around = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    base = points.groupBy(cell(F.col(x), size).alias("cx"), cell(F.col(y), size).alias("cy")).agg(F.count("*").alias("n"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels - 3))).alias("level")
+    counts = base.select("cx", "cy", "n", every).groupBy("level", shift(F.col("cx"), F.col("level")).alias("cx"), shift(F.col("cy"), F.col("level")).alias("cy")).agg(F.sum("n").alias("n"))
+    asked = queries.withColumns({"_qx": cell(F.col(qx), size), "_qy": cell(F.col(qy), size)})
+    near = asked.select(query_id, "_qx", "_qy", every).withColumn("_c", F.explode(around))
+    near = near.select(query_id, "level", (shift(F.col("_qx"), F.col("level")) + F.col("_c.a")).alias("cx"), (shift(F.col("_qy"), F.col("level")) + F.col("_c.b")).alias("cy"))
+    enough = near.join(counts, ["level", "cx", "cy"]).groupBy(query_id, "level").agg(F.sum("n").alias("n")).where(F.col("n") >= k).groupBy(query_id).agg(F.min("level").alias("level"))
+    # Fewer than k points anywhere: the highest level, whose nine cells hold them all.
+    taken = asked.join(enough, query_id, "left").withColumn("level", F.coalesce(F.col("level") + 2, F.lit(levels - 1)))
+    reach = taken.withColumn("_c", F.explode(around)).withColumns({"_cx": shift(F.col("_qx"), F.col("level")) + F.col("_c.a"), "_cy": shift(F.col("_qy"), F.col("level")) + F.col("_c.b")})
+    used = taken.select("level").distinct()  # ``levels`` rows at most
+    dealt = points.withColumns({"_px": cell(F.col(x), size), "_py": cell(F.col(y), size)}).join(F.broadcast(used))
+    dealt = dealt.withColumns({"_cx": shift(F.col("_px"), F.col("level")), "_cy": shift(F.col("_py"), F.col("level"))})
+    pairs = reach.join(dealt, ["level", "_cx", "_cy"]).withColumn("distance2", d2((F.col(qx), F.col(x)), (F.col(qy), F.col(y))))
+    best = Window.partitionBy(query_id).orderBy("distance2", id_)
+    keep = [c for c in (*queries.columns, *points.columns)]
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*keep, "distance2", "rank")
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int, query_id: str, id_: str, distance: Column, blocks: int = 64) -> DataFrame:
-    """For a stated query set the k nearest points of each query under any metric.
+    """For a stated query set the k nearest points of each query under any metric; ``knn_places`` prunes, in the plane.
 
     Points are dealt into blocks; each block keeps its k best of a query before blocks meet, so that no window holds more
     than k rows a block. ``queries`` has to be small: Spark broadcasts it only below its own threshold of size.

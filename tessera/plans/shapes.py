@@ -69,7 +69,7 @@ def knn_join(spark, d):
     """The five nearest parts of every hundredth part."""
     p = points(spark, d)
     q = p.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    got = spatial.knn_join(q, p, 5, "query_id", "id", distance.d2((F.col("qx"), F.col("x")), (F.col("qy"), F.col("y"))))
+    got = spatial.knn_places(q, p, 5, "query_id", "id")
     return got.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
