@@ -49,8 +49,11 @@ def settings(spark: SparkSession, **changes: str):
                 spark.conf.set(k, v)
 
 
+#: On a local file system (a shared mount, say) scratch tables go without checksum side files: each would cost a second file
+#: and a second process that sets its mode. Other file systems have none and don't read these options.
+NO_SIDE_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Bytes of an Arrow batch that goes to a Python worker while a scratch table is written.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +64,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES)):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **NO_SIDE_FILES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -229,5 +229,8 @@ def _round(left: DataFrame, groups: int, level: int, capacity: int, slack: int)
         b = b.sort_values(["fill", "bin"], ascending=[False, True], kind="stable")
         return _packed(list(zip(b["fill"].tolist(), b["pieces"], strict=True)), capacity, slack, int(key[0]) << 32)
 
-    dealt = left.withColumn("g", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(again, BINS)
+    return _dealt(left, groups, level).groupBy("g").applyInPandas(again, BINS)
+
+
+def _dealt(left: DataFrame, groups: int, level: int) -> DataFrame:
+    return left.withColumn("g", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)))

@@ -9,8 +9,9 @@ Features are frequencies of bytes and hashed byte pairs of the whole text (squar
 not depend on language labels, sources or ids. Only the training sample is bounded: ``positives`` and ``unlabelled`` texts
 of the least hashes of their ids. Every text is scored.
 
-Defined results: null and empty texts have all features zero and get the classifier's value there. Without positives or
-without unlabelled text every score is 0.5. Repeated rows get equal scores; empty tables give no rows. Other columns pass
+Defined results: null and empty texts have all features zero and get the classifier's value there; very long texts are read
+whole. Without positives or without unlabelled text every score is 0.5. Repeated rows get equal scores; of ids that tie for the
+sample the smaller hash comes first; empty tables give no rows. Other columns pass
 through; score and predicted replace columns of those names.
 """
 
@@ -92,25 +93,35 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(above(su)[best] / above(sp)[best], 0.05, 0.98))
 
 
+def negative_risk(f: np.ndarray, n: int, prior: float) -> float:
+    """What unlabelled text, less its share of positives, loses as negatives; f: logits of n positives, then of unlabelled text."""
+    minus = np.logaddexp(0, f)
+    return float(minus[n:].mean() - prior * minus[:n].mean())
+
+
+def risk(f: np.ndarray, n: int, prior: float) -> float:
+    """prior E_p[l(+)] + max(0, E_u[l(-)] - prior E_p[l(-)]) for the logistic loss l."""
+    return float(prior * np.logaddexp(0, -f[:n]).mean()) + max(0.0, negative_risk(f, n, prior))
+
+
+def risk_slope(f: np.ndarray, n: int, prior: float) -> np.ndarray:
+    """The gradient of the risk in the logits; where the risk of negatives is below zero, it is overfitted, and the step goes back along it."""
+    soft, m = _soft(f), len(f) - n
+    d = np.empty(len(f))
+    if negative_risk(f, n, prior) >= 0:
+        d[:n] = prior * (soft[:n] - 1) / n - prior * soft[:n] / n
+        d[n:] = soft[n:] / m
+    else:
+        d[:n] = prior * soft[:n] / n
+        d[n:] = -soft[n:] / m
+    return d
+
+
 def train(p: np.ndarray, u: np.ndarray, prior: float | None = None, steps: int = 250) -> Linear:
-    """Minimise prior E_p[l(+)] + max(0, E_u[l(-)] - prior E_p[l(-)]) for the logistic loss l."""
+    """Minimise the non-negative risk under a class prior, estimated if not given."""
     prior = class_prior(p, u) if prior is None else prior
-    x, n, m = np.concatenate([p, u]), len(p), len(u)
-
-    def slope(f: np.ndarray) -> np.ndarray:
-        soft = _soft(f)
-        minus = np.logaddexp(0, f)
-        negatives = minus[n:].mean() - prior * minus[:n].mean()
-        d = np.empty(len(f))
-        if negatives >= 0:
-            d[:n] = prior * (soft[:n] - 1) / n - prior * soft[:n] / n
-            d[n:] = soft[n:] / m
-        else:  # below zero the risk of negatives is overfitted: step back along it
-            d[:n] = prior * soft[:n] / n
-            d[n:] = -soft[n:] / m
-        return d
-
-    return _fresh(x).minimise(x, slope, steps)
+    x = np.concatenate([p, u])
+    return _fresh(x).minimise(x, lambda f: risk_slope(f, len(p), prior), steps)
 
 
 def score(df: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_: str = "doc_id", text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:

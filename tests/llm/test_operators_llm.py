@@ -138,6 +138,28 @@ def test_shards_are_even_under_one_hot_key(spark):
     assert len(got) == 8 and max(abs(r.b - total / 8) for r in got) <= 100
 
 
+@pytest.mark.parametrize("kind", ["plain", "long", "tiny", "copies"])
+def test_shards_are_even(spark, kind):
+    """Shards differ from their share by less than one record."""
+    rnd = random.Random(kind)
+    text = {"plain": lambda i: "x" * rnd.randrange(300), "long": lambda i: "é" * (20_000 if i == 77 else 30), "tiny": lambda i: "", "copies": lambda i: "the same" if i % 3 else f"{i}"}[kind]
+    rows = [(i, text(i)) for i in range(3000)]
+    got = sharding.shard(samples.documents(spark, rows), sample=500).collect()
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    total, largest = sum(size.values()), max(r["size"] for r in got)
+    assert len(got) == 3000 and all(abs(size[s] - total / 8) <= largest for s in range(8))
+    for n in range(8):
+        assert sorted(r.slot for r in got if r.shard == n) == list(range(sum(r.shard == n for r in got)))
+
+
+def test_the_sample_of_keys_is_bounded(spark):
+    """A row is drawn by its size: one that holds most of the bytes is, and copies are not drawn all together."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, F.repeat(F.lit("y"), 100_000)).otherwise("same").alias("text"))
+    assert {r.shard for r in sharding.shard(df, sample=64, ranges=16).collect()} == set(range(8))
+
+
 def test_shards_of_nothing(none):
     assert sharding.shard(none).count() == 0
 
@@ -173,6 +195,16 @@ def test_packing_in_many_rounds(spark):
     assert got.groupby("sequence_id").length.sum().max() <= 1024
 
 
+def test_no_group_of_bins_grows(spark):
+    """The groups of a round hold some ``group`` bins each, however many rounds there are, and the last takes the emptiest."""
+    left = spark.range(5000).select(F.col("id").alias("bin"), (F.col("id") % 900 + 1).cast("int").alias("fill"))
+    bound = packing._emptiest(left, 100)
+    assert left.where(F.col("fill") <= bound).count() <= 100 < left.where(F.col("fill") <= bound + 1).count()
+    for level in (1, 2, 3):
+        sizes = [r["count"] for r in packing._dealt(left, -(-5000 // 250), level).groupBy("g").count().collect()]
+        assert len(sizes) == 20 and max(sizes) <= 2 * 250
+
+
 def test_cut():
     assert packing.cut(1024, 1024) == [(0, 1024)]
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
@@ -227,6 +259,14 @@ def test_archive_of_nothing(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "w")).count() == 0
 
 
+def test_archive_of_long_payloads(spark, tmp_path):
+    long = "é<p>" * 700_000
+    df = spark.createDataFrame([(2, "u", long), (1, "u", long), (3, "u", long + "x")], "page_id long, url string, html string")
+    warc.write_archive(df, str(tmp_path / "w"))
+    got = {r.record_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archive(spark, str(tmp_path / "w")).select("record_id", "record_type", "refers_to", "payload_bytes").collect()}
+    assert got == {"1": ("response", None, 3_500_000), "2": ("revisit", "1", 3_500_000), "3": ("response", None, 3_500_001)}
+
+
 # nearest neighbours
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
@@ -416,6 +456,37 @@ def test_quality_with_a_repeated_id(labelled):
     assert sum(got[i].predicted == q for i, q in held) >= 0.9 * len(held)
 
 
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_gradient_of_the_risk(shift):
+    """By differences: of the whole risk, and, where the risk of negatives is below zero, of its negative alone."""
+    rng = np.random.default_rng(4)
+    f, n, prior = rng.standard_normal(12), 5, 0.8
+    f[n:] += shift
+    f[:n] -= 2 * shift
+    below = quality.negative_risk(f, n, prior) < 0
+    assert below == (shift < 0)
+    of = (lambda x: -quality.negative_risk(x, n, prior)) if below else (lambda x: quality.risk(x, n, prior))
+    got = quality.risk_slope(f, n, prior)
+    for i in range(12):
+        step = np.zeros(12)
+        step[i] = 1e-5
+        assert got[i] == pytest.approx((of(f + step) - of(f - step)) / 2e-5, abs=1e-6)
+
+
+def test_classifiers_on_repeated_rows_and_long_texts(labelled):
+    docs, labels, _ = labelled
+    spark = docs.sparkSession
+    rnd = random.Random(21)
+    long = samples.sentence(rnd, 40_000)
+    more = samples.documents(spark, [(9000, long), (9001, f"{long} idiot scum moron idiot"), (9002, "plain words"), (9002, "plain words"), (9002, "other words")], False)
+    both = docs.unionByName(more, allowMissingColumns=True)
+    for score, learn in ((quality.score, F.col("doc_id") % 3 != 0), (toxicity.score, F.col("doc_id") % 5 != 0)):
+        got = collections.defaultdict(set)
+        for r in score(both, labels, learn).where("doc_id >= 9000").collect():
+            got[r.doc_id, r.text].add(r.score)
+        assert all(len(s) == 1 and 0 <= min(s) <= 1 for s in got.values()) and len(got) == 4
+
+
 def test_gradient_of_the_network():
     net = toxicity.Network(["aa", "bb", "cc"], seed=1)
     ws = ["aa", "bb", "cc", "dd"]
@@ -476,3 +547,13 @@ def test_urls(spark):
     got = url_filter.judge(df).orderBy("page_id").select("host", "path", "rule", "verdict").collect()
     assert [tuple(r) for r in got] == [c[1:] for c in cases]
     assert url_filter.judge(df.limit(0)).count() == 0
+
+
+def test_long_urls_weights_and_clashing_names(spark):
+    long = "http://x.net/" + "a/" * 200_000
+    urls = [long + "casino", long, "http://x.net/free/spam/cheap", "http://x.net/free/cheap", "http://x.net/free/win/bonus", "http://x.net/blog?utm_source=ref&page=2", None]
+    names = ["host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight"]
+    df = spark.createDataFrame([(i, u, *["x"] * 7) for i, u in enumerate(urls)], f"page_id long, url string, {', '.join(f'{n} string' for n in names)}")
+    got = url_filter.judge(df).orderBy("page_id")
+    assert sorted(got.columns) == sorted(["page_id", "url", *names])
+    assert [(r.strict_hits, r.soft_hits, r.weight, r.verdict) for r in got.collect()] == [(1, 0, 0, "block"), (0, 0, 0, "allow"), (0, 3, 4, "block"), (0, 2, 2, "allow"), (0, 3, 3, "block"), (0, 0, 0, "allow"), (0, 0, 0, "allow")]
