@@ -78,7 +78,7 @@ def distances(edges: DataFrame, sources: DataFrame, weighted: bool = True, most:
     w = F.col("weight").cast("double") if weighted else F.lit(1.0)
     if weighted:
         w = F.when(F.assert_true(F.col("weight") >= 0, "weights must not be negative").isNull(), w)
-    steps = edges.where("src <> dst").groupBy("src", "dst").agg(F.min(w).alias("w"))
+    steps = _cut(edges.where("src <> dst").groupBy("src", "dst").agg(F.min(w).alias("w")))  # each round reads it
     empty = F.lit(None).cast(steps.schema["src"].dataType)
     at = ["source", "id"]
     base = _cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), empty.alias("via")))

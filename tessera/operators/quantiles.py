@@ -142,10 +142,18 @@ def in_window(df: DataFrame, ts: Column, as_of: Column, window: int) -> DataFram
     return df.where((ts >= as_of - window) & (ts <= as_of))
 
 
-def rolling(df: DataFrame, keys: list[str], ts: Column, value: str, q: float, window: int, out: str) -> DataFrame:
-    """At every row the q-quantile of its key's rows in the closed window that ends there."""
-    frame = Window.partitionBy(*keys).orderBy(ts).rangeBetween(-window, 0)
-    return df.withColumn(out, F.expr(f"percentile_approx({value}, {q}, 100000)").over(frame))
+def rolling(df: DataFrame, keys: list[str], ts: Column, value: str, q: float, window: int, out: str, stretch: int = 24) -> DataFrame:
+    """At every row the q-quantile of its key's rows in the closed window that ends there.
+
+    Time is cut into stretches of ``stretch`` windows; the rows of a window before a stretch go to it too, so that every frame lies
+    in one stretch and a key that holds most of the rows is the work of many tasks.
+    """
+    width = stretch * max(1, window)
+    own = df.withColumns({"_t": ts, "_b": F.floor(ts / width).cast("long"), "_before": F.lit(False)})
+    before = own.where(F.col("_t") >= (F.col("_b") + 1) * width - window).withColumns({"_b": F.col("_b") + 1, "_before": F.lit(True)})
+    frame = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(-window, 0)
+    got = own.unionByName(before).withColumn(out, F.expr(f"percentile_approx({value}, {q}, 100000)").over(frame))
+    return got.where("not _before").drop("_t", "_b", "_before")
 
 
 def sessions(df: DataFrame, keys: list[str], ts: Column, gap: int, order: list[str]) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.distance import METRICS, d2
+from tessera.functions.distance import d2
 from tessera.functions.shapes import intersects, rect
 
 
@@ -104,11 +108,61 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, query_id: str, id_:
     return best.withColumn("rank", rank).where(F.col("rank") <= k).drop("_n", "_block")
 
 
-def knn_vectors(df: DataFrame, queries: DataFrame, k: int, id_: str, vector: str, metric="euclidean") -> DataFrame:
-    """k nearest vectors to each query vector; ``metric`` is a name or a function of two array columns."""
-    of = METRICS.get(metric, metric)
-    asked = queries.select(F.col(id_).alias("query_id"), F.col(vector).alias("_qv"))
-    return knn_join(asked, df.select(id_, vector), k, "query_id", id_, of(F.col(vector), F.col("_qv"))).select("query_id", "rank", id_, "distance")
+#: Orders of the metrics by name.
+ORDERS = {"manhattan": 1.0, "euclidean": 2.0, "chebyshev": float("inf")}
+
+
+def knn_vectors(df: DataFrame, queries: DataFrame, k: int, id_: str, vector: str, metric: str | float = "euclidean", query_block: int = 4096, block: int = 2048) -> DataFrame:
+    """k nearest vectors to each of a stated set of query vectors, exactly: query_id, rank, id, distance; ties to the smaller id.
+
+    ``metric`` is a name or an order p >= 1. Queries go out in blocks of a bounded number; a block of rows keeps its k best of each
+    query, which is all that is shuffled. Null vectors take no part; vectors of unequal length are an error.
+    """
+    p = float(ORDERS.get(metric, metric))
+    if p < 1:
+        raise ValueError("p must be at least 1")
+    spark, kind = df.sparkSession, df.schema[id_].dataType.simpleString()
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    blocks = max(1, -(-asked.count() // query_block))
+    best = Window.partitionBy("query_id").orderBy("distance", id_)
+    out = None
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).collect()  # some query_block rows
+        sent = spark.sparkContext.broadcast(([r.id for r in part], [r.v for r in part]))
+        found = rows.mapInPandas(_nearest_by(sent, k, p, id_, block), f"query_id {kind}, {id_} {kind}, distance double")
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id_, "distance")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest_by(sent, k: int, p: float, id_: str, block: int):
+    def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        d = np.abs(x - q)
+        if p == 1:
+            return d.sum(axis=1)
+        if p == 2:
+            return np.sqrt((d * d).sum(axis=1))
+        return d.max(axis=1, initial=0.0) if p == float("inf") else (d**p).sum(axis=1) ** (1 / p)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = sent.value
+        for b in batches:
+            for lo in range(0, len(b), block):
+                own = b["id"].to_numpy()[lo : lo + block]
+                x = np.array(b["v"].tolist()[lo : lo + block])  # unequal lengths fail here
+                out = []
+                for q, v in zip(ids, vectors, strict=True):
+                    if x.shape[1] != len(v):
+                        raise ValueError("vectors differ in length")
+                    d = distances(x, np.asarray(v))
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    top = near[np.lexsort((own[near], d[near]))[:k]]
+                    out.append(pd.DataFrame({"query_id": [q] * len(top), id_: own[top], "distance": d[top]}))
+                if out:
+                    yield pd.concat(out)
+
+    return nearest
 
 
 def rect_join(a: DataFrame, b: DataFrame, size: float, prefix_a: str = "", prefix_b: str = "o_", on=intersects) -> DataFrame:

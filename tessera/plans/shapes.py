@@ -99,7 +99,7 @@ def _knn(name: str, metric):
     query(sql)(run)
 
 
-for _n, _m in (("euclidean", "euclidean"), ("manhattan", "manhattan"), ("chebyshev", "chebyshev"), ("minkowski3", distance.minkowski(3))):
+for _n, _m in (("euclidean", "euclidean"), ("manhattan", "manhattan"), ("chebyshev", "chebyshev"), ("minkowski3", 3)):
     _knn(_n, _m)
 
 

@@ -89,6 +89,18 @@ def test_exact_quantiles_beyond_the_sketch(spark):
     assert medians == df.agg(F.expr("percentile(v, 0.5)")).first()[0]
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 24])
+def test_rolling_quantiles_by_brute_force(spark, stretch):
+    rnd = random.Random(stretch)
+    data = [(rnd.choice("ab"), rnd.randrange(-300, 900), n, float(rnd.randrange(20))) for n in range(200)]
+    got = quantiles.rolling(spark.createDataFrame(data, "k string, t long, n long, v double"), ["k"], F.col("t"), "v", 0.7, 50, "q", stretch)
+    want = []
+    for k, t, n, v in data:
+        own = sorted(x for key, u, _, x in data if key == k and t - 50 <= u <= t)
+        want.append((k, t, n, v, own[max(0, -int(-0.7 * len(own) // 1) - 1)]))
+    assert got.columns == ["k", "t", "n", "v", "q"] and rows(got) == sorted(want)
+
+
 def test_markers_give_other_percentiles_and_counts(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(101)] + [("b", 0, 3.0), ("b", 1, 1.0)], "k string, n long, v double")
     got = {r.k: r for r in quantiles.p_square(df, ["k"], "v", ["n"], 0.5).withColumn("q", quantiles.between_markers(F.col("markers"), 0.25)).collect()}
@@ -132,6 +144,21 @@ def test_planar_neighbours_by_brute_force(spark):
     assert few.groupBy("query_id").count().where("count <> 3").isEmpty() and few.count() == 3 * len(queries)
 
 
+@pytest.mark.parametrize(("metric", "of"), [("euclidean", lambda d: sum(x * x for x in d) ** 0.5), ("manhattan", sum), ("chebyshev", max), (3, lambda d: sum(x**3 for x in d) ** (1 / 3))])
+def test_nearest_vectors_by_brute_force(spark, metric, of):
+    rnd = random.Random(9)
+    data = [(i, [float(rnd.randrange(6)) for _ in range(3)]) for i in range(120)] + [(500, None)]
+    df = spark.createDataFrame(data, "id long, v array<double>")
+    got = spatial.knn_vectors(df, df.where("id % 20 = 0"), 4, "id", "v", metric, query_block=3, block=50)
+    want = []
+    for q in range(0, 120, 20):
+        near = sorted((round(of([abs(a - b) for a, b in zip(v, data[q][1], strict=True)]), 9), i) for i, v in data[:-1])[:4]
+        want += [(q, r + 1, i, d) for r, (d, i) in enumerate(near)]
+    assert [(q, r, i, round(d, 9)) for q, r, i, d in rows(got)] == want
+    with pytest.raises(ValueError):
+        spatial.knn_vectors(df, df, 1, "id", "v", 0.5)
+
+
 def test_boxes_against_frusta_and_boxes(spark):
     planes = [(1, 0, 0, 0), (-1, 0, 0, 10), (0, 1, 0, 0), (0, -1, 0, 10), (0, 0, 1, 0), (0, 0, -1, 10)]
     df = spark.createDataFrame([(0, 1.0), (1, -1.0), (2, 11.0), (3, 10.5), (4, -3.0)], "id long, v double")
