@@ -10,7 +10,7 @@ not depend on language labels, sources or ids. Only the training sample is bound
 of the least hashes of their ids. Every text is scored.
 
 Defined results: null and empty texts have all features zero and get the classifier's value there; very long texts are read
-whole. Without positives or without unlabelled text every score is 0.5. Repeated rows get equal scores; of ids that tie for the
+whole. Without positives or without unlabelled text every score is 0.5. Repeated rows get equal scores, up to rounding; of ids that tie for the
 sample the smaller hash comes first; empty tables give no rows. Other columns pass
 through; score and predicted replace columns of those names.
 """

@@ -10,7 +10,7 @@ Only the sample for training is bounded: up to ``sample`` labelled texts of each
 at most ``longest`` characters. Every window of every text is scored.
 
 Defined results: texts without words (null ones too) score 0. If the sample lacks a class, every text with words gets the
-share of label 1 in it, at most 0.49 unless it is all. Repeated rows get equal scores; empty tables give no rows; null labels
+share of label 1 in it, at most 0.49 unless it is all. Repeated rows get equal scores, up to rounding; very long texts are read whole; empty tables give no rows; null labels
 are not learned from. Other columns pass through; score and predicted replace columns of those names.
 """
 

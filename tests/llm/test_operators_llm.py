@@ -154,10 +154,14 @@ def test_shards_are_even(spark, kind):
         assert sorted(r.slot for r in got if r.shard == n) == list(range(sum(r.shard == n for r in got)))
 
 
-def test_the_sample_of_keys_is_bounded(spark):
-    """A row is drawn by its size: one that holds most of the bytes is, and copies are not drawn all together."""
+def test_shards_around_one_row_of_half_the_bytes(spark):
+    """Its middle decides where it lies; the shards that it spans hold nothing else."""
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, F.repeat(F.lit("y"), 100_000)).otherwise("same").alias("text"))
-    assert {r.shard for r in sharding.shard(df, sample=64, ranges=16).collect()} == set(range(8))
+    got = collections.defaultdict(list)
+    for r in sharding.shard(df, sample=64, ranges=16).collect():
+        got[r.shard].append(r.slot)
+    assert sum(map(len, got.values())) == 20_000 and 4 <= len(got) <= 6
+    assert all(sorted(s) == list(range(len(s))) for s in got.values())
 
 
 def test_shards_of_nothing(none):
@@ -484,7 +488,7 @@ def test_classifiers_on_repeated_rows_and_long_texts(labelled):
         got = collections.defaultdict(set)
         for r in score(both, labels, learn).where("doc_id >= 9000").collect():
             got[r.doc_id, r.text].add(r.score)
-        assert all(len(s) == 1 and 0 <= min(s) <= 1 for s in got.values()) and len(got) == 4
+        assert all(max(s) - min(s) < 1e-5 and 0 <= min(s) <= max(s) <= 1 for s in got.values()) and len(got) == 4
 
 
 def test_gradient_of_the_network():

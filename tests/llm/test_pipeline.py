@@ -6,8 +6,9 @@ import random
 import corpus_pipeline
 import pytest
 
-from tessera.llm import substring
-from tessera.llm._shared import hashed_words
+from tessera.llm import decontamination, packing, substring
+from tessera.llm._shared import hashed_words, settings, written
+from tessera.llm.queries import tokenizer_path
 from tests import oracle
 from tests.llm import samples
 from tests.llm.test_operators_llm import brute_groups, brute_substring
@@ -87,6 +88,69 @@ def test_repeats_leave_the_text(spark, docs, rows):
     assert got == want
 
 
+@pytest.fixture(scope="module")
+def stages(spark):
+    """What goes into each stage over the table of documents, and what comes out."""
+    docs, out = spark.read.parquet(f"{oracle.DATA}/documents.parquet"), []
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = written(stage(spark, docs, oracle.DATA), f"stage-{n}")
+        out.append((name, docs.collect(), got.collect()))
+        docs = got
+    return out
+
+
+def test_the_toxicity_stage_follows_the_labels(spark, stages):
+    _, before, after = stages[0]
+    kept = {r.doc_id for r in after}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{oracle.DATA}/labels.parquet").collect()}
+    known = [r.doc_id for r in before if r.doc_id in toxic]
+    assert sum((i in kept) == (toxic[i] == 0) for i in known) >= 0.95 * len(known) and kept <= {r.doc_id for r in before}
+
+
+def test_the_near_copy_stage_by_brute_force(stages):
+    _, before, after = stages[1]
+    want = {(i, t) for (i, t), (_, _, c) in zip(rows := [(r.doc_id, r.text) for r in before], brute_groups(rows, 5, 80), strict=True) if i == c}
+    assert collections.Counter((r.doc_id, r.text) for r in after) == collections.Counter(want)
+
+
+def test_the_substring_stage_by_brute_force(stages):
+    _, before, after = stages[2]
+    want = brute_substring([(r.doc_id, r.text) for r in before])
+    assert sorted((r.doc_id, r.text.encode().split()) for r in after) == sorted((i, kept.encode().split()) for i, _, _, kept in want)
+
+
+def test_the_decontamination_stage_by_brute_force(spark, stages):
+    """Every document that holds an item goes, and no other. An item cannot be near where more words than edits are missing."""
+    _, before, after = stages[3]
+    items = [w for r in spark.read.parquet(f"{oracle.DATA}/benchmark.parquet").collect() if len(w := decontamination.words(r.text)) >= decontamination.LEAST]
+    held = set()
+    for r in before:
+        ws = decontamination.words(r.text)
+        have = collections.Counter(ws)
+        for item in items:
+            most = len(item) // 5
+            if sum((collections.Counter(item) - have).values()) <= most and decontamination.edits_within(item, ws, most):
+                held.add(r.doc_id)
+                break
+    assert held and {r.doc_id for r in after} == {r.doc_id for r in before} - held
+
+
+def test_the_packing_stage_by_brute_force(stages):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    _, before, after = stages[4]
+    want = collections.Counter()
+    for r in before:
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.update((r.doc_id, n, start, length) for n, (start, length) in enumerate(packing.cut(len(ids), 1024)))
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length) for r in after) == want
+    fill = collections.Counter()
+    for r in after:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024 and len(fill) <= -(-sum(fill.values()) // 1024) + 2
+
+
 def test_the_whole(spark):
     got = corpus_pipeline.run(spark, oracle.DATA)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
@@ -100,3 +164,11 @@ def test_words_are_cut_at_six_bytes_only():
     found = [w.raw[s:e] for s, e in zip(w.start, w.end, strict=True)]
     assert found == text.encode().split() * 2 and w.sizes.tolist() == [4, 0, 0, 4]
     assert (w.hash[:4] == w.hash[4:]).all() and len(set(w.hash.tolist())) == 4
+
+
+def test_settings_come_back(spark):
+    name, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with pytest.raises(ZeroDivisionError), settings(spark, spark__sql__execution__arrow__maxBytesPerBatch="77"):
+        assert spark.conf.get(name) == "77"
+        raise ZeroDivisionError
+    assert spark.conf.get(name) == before
