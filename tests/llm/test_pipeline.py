@@ -109,7 +109,8 @@ def test_the_toxicity_stage_follows_the_labels(spark, stages):
 
 def test_the_near_copy_stage_by_brute_force(stages):
     _, before, after = stages[1]
-    want = {(i, t) for (i, t), (_, _, c) in zip(rows := [(r.doc_id, r.text) for r in before], brute_groups(rows, 5, 80), strict=True) if i == c}
+    rows = [(r.doc_id, r.text) for r in before]
+    want = {(i, t) for (i, t), (_, _, c) in zip(rows, brute_groups(rows, 5, 80), strict=True) if i == c}
     assert collections.Counter((r.doc_id, r.text) for r in after) == collections.Counter(want)
 
 
