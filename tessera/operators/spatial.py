@@ -124,11 +124,12 @@ def knn_vectors(df: DataFrame, queries: DataFrame, k: int, id_: str, vector: str
     spark, kind = df.sparkSession, df.schema[id_].dataType.simpleString()
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    blocks = max(1, -(-asked.count() // query_block))
+    first = asked.limit(query_block + 1).collect()
+    blocks = 1 if len(first) <= query_block else -(-asked.count() // query_block)
     best = Window.partitionBy("query_id").orderBy("distance", id_)
     out = None
     for n in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).collect()  # some query_block rows
+        part = first if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).collect()  # some query_block rows
         sent = spark.sparkContext.broadcast(([r.id for r in part], [r.v for r in part]))
         found = rows.mapInPandas(_nearest_by(sent, k, p, id_, block), f"query_id {kind}, {id_} {kind}, distance double")
         found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id_, "distance")
