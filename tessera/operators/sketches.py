@@ -22,10 +22,17 @@ def bloom_shape(items: int, fpr: float = 0.01) -> tuple[int, int]:
     return bits, min(20, max(1, math.ceil(bits / items * math.log(2))))
 
 
+def _two_hashes(item: Column, bits: int, seed: int, hash_) -> tuple[Column, Column]:
+    return F.pmod(hash_(F.lit(seed), item), F.lit(bits)), F.pmod(hash_(F.lit(seed + 1), item).bitwiseOR(F.lit(1)), F.lit(bits))
+
+
+def _positions(h1: Column, h2: Column, bits: int, hashes: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h1 + i * h2, F.lit(bits)))
+
+
 def bloom_positions(item: Column, bits: int, hashes: int, seed: int = 0, hash_=F.xxhash64) -> Column:
     """The array of bit positions of an item: two hashes combined, the second odd."""
-    h1, h2 = F.pmod(hash_(F.lit(seed), item), F.lit(bits)), F.pmod(hash_(F.lit(seed + 1), item).bitwiseOR(F.lit(1)), F.lit(bits))
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h1 + i * h2, F.lit(bits)))
+    return _positions(*_two_hashes(item, bits, seed, hash_), bits, hashes)
 
 
 def _bit() -> Column:
@@ -45,12 +52,18 @@ def bloom_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def bloom_probe(df: DataFrame, item: Column, sketch: DataFrame, bits: int, hashes: int, seed: int = 0, hash_=F.xxhash64) -> DataFrame:
-    """``df`` with ``maybe``: whether all bits of the item are set. The filter's words are joined by number, not collected."""
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    at = rows.select("_row", F.explode(F.array_distinct(bloom_positions(item, bits, hashes, seed, hash_))).alias("bit"))
+    """``df`` with ``maybe``: whether all bits of the item are set; null items: false. The filter's words are joined by number, not collected.
+
+    Rows find their answer by the two hashes of their item, which say all that is asked of it. A number given to a row would not
+    do: both sides of that join are computed by themselves, and the order of rows after a shuffle may differ between them.
+    """
+    h1, h2 = _two_hashes(item, bits, seed, hash_)
+    rows = df.withColumns({"_h1": F.when(item.isNotNull(), h1), "_h2": F.when(item.isNotNull(), h2)})
+    asked = rows.select("_h1", "_h2").where(F.col("_h1").isNotNull()).distinct()
+    at = asked.select("_h1", "_h2", F.explode(F.array_distinct(_positions(F.col("_h1"), F.col("_h2"), bits, hashes))).alias("bit"))
     hit = F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(_bit()) != 0
-    seen = at.withColumn("word", F.expr("bit div 64")).join(sketch, "word", "left").groupBy("_row").agg(F.bool_and(hit).alias("maybe"))
-    return rows.join(seen, "_row", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False))).drop("_row")
+    seen = at.withColumn("word", F.expr("bit div 64")).join(sketch, "word", "left").groupBy("_h1", "_h2").agg(F.bool_and(hit).alias("maybe"))
+    return rows.join(seen, ["_h1", "_h2"], "left").withColumn("maybe", F.coalesce("maybe", F.lit(False))).drop("_h1", "_h2")
 
 
 def bloom_semi_join(df: DataFrame, key: str, other: DataFrame, bits: int, hashes: int, seed: int = 0) -> DataFrame:

@@ -124,6 +124,20 @@ def test_a_small_filter_errs_and_a_table_shaped_by_error_is_near(spark):
     assert stats.counted == 5000 and sketches.cms_estimate(exact, F.col("x"), sketch, width, depth).where(F.col("estimate") > F.col("n") + stats.max_error).count() <= 5
 
 
+def test_a_probe_holds_when_rows_come_in_another_order(spark):
+    def anyhow(batches):
+        for b in batches:
+            yield b.sample(frac=1)  # another order whenever it is computed
+
+    inside = spark.range(0, 600, 3).toDF("x")
+    sketch = sketches.bloom(inside, F.col("x"), 1 << 16, 7)
+    probes = spark.range(600).selectExpr("if(id = 1, null, id) as x").repartition(1).mapInPandas(anyhow, "x long")
+    got = sketches.bloom_probe(probes.withColumn("y", F.col("x") + 1), F.col("x"), sketch, 1 << 16, 7)
+    assert got.columns == ["x", "y", "maybe"] and got.count() == 600
+    got = {r.x: r.maybe for r in got.collect()}
+    assert all(got[x] for x in range(0, 600, 3)) and sum(got.values()) <= 210 and got[None] is False
+
+
 def test_a_filter_before_a_join_changes_nothing(spark):
     a, b = spark.range(300).selectExpr("id % 70 as x", "id"), spark.range(40).selectExpr("id * 3 as x")
     got = sketches.bloom_semi_join(a, "x", b, 64, 2).select("id")
