@@ -56,10 +56,16 @@ def vertex_listing(spark, d):
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst, min(l_quantity) AS weight FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2)
     SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e""")
 def edges_both_ways(spark, d):
-    """Edges between parts and suppliers, added in both directions."""
-    v = load(spark, d, "part").select(F.col("p_partkey").alias("id")).union(load(spark, d, "supplier").select(F.col("s_suppkey") + 1_000_000))
-    li = load(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst"), F.col("l_quantity").alias("weight"))
-    return graph.add_edges(v, li.limit(0), li, ["weight"], both_ways=True).select("src", "dst", "weight")
+    """Edges between parts and suppliers, added in both directions.
+
+    Parts and suppliers number their keys by themselves, and at size a part may have the number of a supplier; so parts are
+    the even vertices and suppliers the odd ones, and the numbers that are shown come last.
+    """
+    part, supplier = (lambda k: F.col(k).cast("long") * 2), (lambda k: F.col(k).cast("long") * 2 + 1)
+    v = load(spark, d, "part").select(part("p_partkey").alias("id")).union(load(spark, d, "supplier").select(supplier("s_suppkey")))
+    li = load(spark, d, "lineitem").select(part("l_partkey").alias("src"), supplier("l_suppkey").alias("dst"), F.col("l_quantity").alias("weight"))
+    shown = lambda c: (F.shiftright(c, 1) + F.when(F.col(c).bitwiseAND(1) == 1, 1_000_000).otherwise(0)).alias(c)
+    return graph.add_edges(v, li.limit(0), li, ["weight"], both_ways=True).select(shown("src"), shown("dst"), "weight")
 
 
 # Keyed rectangles: one a part; order lines write new ones.
