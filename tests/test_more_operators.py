@@ -145,6 +145,42 @@ def test_a_filter_before_a_join_changes_nothing(spark):
 
 
 # space
+def inner_broadcasts(df):
+    return [line for line in plan(df).splitlines() if "BroadcastHashJoin" in line and "Inner" in line or "NestedLoop" in line]
+
+
+def most_in_a_task(df):
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(counts) / sum(counts)
+
+
+def crowd(spark):
+    """Points of which most lie in one cell, some alike, some without an id, some ids twice."""
+    rnd = random.Random(11)
+    data = [(i, rnd.uniform(2, 3), rnd.uniform(2, 3)) for i in range(60)] + [(100 + i, 2.5, 2.5) for i in range(12)] + [(200 + i, rnd.uniform(-9, 9), rnd.uniform(-9, 9)) for i in range(60)]
+    data += [(5, 2.5, 2.5), (5, 2.5, 2.6), (None, 2.5, 2.5), (300, None, 2.5), (301, 2.5, None)]
+    return data, spark.createDataFrame(data, "id long, x double, y double")
+
+
+def small_blocks(monkeypatch):
+    for name, value in (("BLOCK", 7), ("PAIRS", 200)):
+        monkeypatch.setattr(spatial, name, value, raising=False)
+
+
+def test_exact_collisions_of_a_crowded_cell(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    data, df = crowd(spark)
+    near = [(a, b) for a, x, y in data for b, u, v in data if None not in (a, b, x, y, u, v) and a < b and (x - u) ** 2 + (y - v) ** 2 <= 1]
+    got = spatial.close_pairs(df, "id", "x", "y", 1)
+    assert rows(got) == sorted(near)
+    assert not inner_broadcasts(got) and most_in_a_task(got) < 0.3
+    solid = df.withColumn("z", F.col("x"))
+    near = [(a, b) for a, x, y in data for b, u, v in data if None not in (a, b, x, y, u, v) and a < b and 2 * (x - u) ** 2 + (y - v) ** 2 <= 1]
+    got = spatial.close_in_space(solid, "id", 1.0)
+    assert rows(got) == sorted(near)
+    assert not inner_broadcasts(got) and most_in_a_task(got) < 0.3
+
+
 def test_planar_neighbours_by_brute_force(spark):
     rnd = random.Random(7)
     points = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(300)] + [(300 + i, 5.0, 5.0) for i in range(20)] + [(400, 900.0, -900.0)]
