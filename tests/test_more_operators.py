@@ -181,6 +181,18 @@ def test_exact_collisions_of_a_crowded_cell(spark, monkeypatch):
     assert not inner_broadcasts(got) and most_in_a_task(got) < 0.3
 
 
+def test_radius_join_keeps_all_columns_of_a_crowded_cell(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    data, df = crowd(spark)
+    a = df.select("x", F.col("id").alias("a"), "y", (F.col("id") * 2).cast("string").alias("name"))
+    b = df.select(F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    got = spatial.radius_join(a, b, 2.0)
+    assert got.columns == ["x", "a", "y", "name", "b", "x2", "y2"]
+    want = [(x, i, y, None if i is None else str(2 * i), j, u, v) for i, x, y in data for j, u, v in data if None not in (x, y, u, v) and (x - u) ** 2 + (y - v) ** 2 <= 4]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert not inner_broadcasts(got) and most_in_a_task(got) < 0.3
+
+
 def test_planar_neighbours_by_brute_force(spark):
     rnd = random.Random(7)
     points = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(300)] + [(300 + i, 5.0, 5.0) for i in range(20)] + [(400, 900.0, -900.0)]
