@@ -193,6 +193,17 @@ def test_radius_join_keeps_all_columns_of_a_crowded_cell(spark, monkeypatch):
     assert not inner_broadcasts(got) and most_in_a_task(got) < 0.3
 
 
+def test_rectangles_of_a_crowded_cell(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    rnd = random.Random(3)
+    boxes = [(i, x, y, x + rnd.uniform(0, 5), y + rnd.uniform(0, 5)) for i, x, y in crowd(spark)[0] if None not in (i, x, y)] + [(400 + i, 2.0, 2.0, 3.0, 3.0) for i in range(30)]
+    r = spark.createDataFrame(boxes, "a long, min_x double, min_y double, max_x double, max_y double")
+    other = r.withColumnsRenamed({"a": "b"} | {e: f"o_{e}" for e in shapes.EDGES})
+    got = spatial.rect_join(r, other, 4.0).select("a", "b")
+    assert rows(got) == sorted((p[0], q[0]) for p in boxes for q in boxes if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2])
+    assert not inner_broadcasts(got) and most_in_a_task(got) < 0.3
+
+
 def test_planar_neighbours_by_brute_force(spark):
     rnd = random.Random(7)
     points = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(300)] + [(300 + i, 5.0, 5.0) for i in range(20)] + [(400, 900.0, -900.0)]
