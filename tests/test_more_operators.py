@@ -204,6 +204,15 @@ def test_rectangles_of_a_crowded_cell(spark, monkeypatch):
     assert not inner_broadcasts(got) and most_in_a_task(got) < 0.3
 
 
+def test_pairs_of_one_cell_go_to_many_tasks(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    data, df = crowd(spark)
+    same = [(a, b) for a, x, y in data for b, u, v in data if None not in (a, b, x, y, u, v) and a < b and x // 2 == u // 2 and y // 2 == v // 2]
+    got = spatial.same_cell_pairs(df, "id", "x", "y", 2)
+    assert rows(got) == sorted(same)
+    assert not inner_broadcasts(got) and most_in_a_task(got) < 0.3
+
+
 def test_planar_neighbours_by_brute_force(spark):
     rnd = random.Random(7)
     points = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(300)] + [(300 + i, 5.0, 5.0) for i in range(20)] + [(400, 900.0, -900.0)]
