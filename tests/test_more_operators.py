@@ -226,6 +226,25 @@ def test_planar_neighbours_by_brute_force(spark):
     assert few.groupBy("query_id").count().where("count <> 3").isEmpty() and few.count() == 3 * len(queries)
 
 
+def test_planar_neighbours_among_copies(spark, monkeypatch):
+    for name, value in (("NEAR_BLOCK", 5), ("NEAR_PAIRS", 100)):
+        monkeypatch.setattr(spatial, name, value, raising=False)
+    sent, meet = [], spatial._meet
+    monkeypatch.setattr(spatial, "_meet", lambda a, b, *rest, **more: sent.append(b) or meet(a, b, *rest, **more))
+    rnd = random.Random(13)
+    places = [(rnd.gauss(0, 1), rnd.gauss(0, 1)) for _ in range(30)] + [(50.0, 50.0 + i / 100) for i in range(30)]
+    points = [(n * 60 + i, x, y) for i, (x, y) in enumerate(places) for n in range(20)]
+    queries = [(i, *rnd.choice(places)) for i in range(10)] + [(20 + i, rnd.uniform(-60, 60), rnd.uniform(-60, 60)) for i in range(10)]
+    p, q = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(queries, "query_id long, qx double, qy double")
+    got = spatial.knn_places(q, p, 6, "query_id", "id")
+    want = [(i, r + 1, n) for i, a, b in queries for r, (_, n) in enumerate(sorted(((a - x) * (a - x) + (b - y) * (b - y), n) for n, x, y in points)[:6])]
+    assert rows(got.select("query_id", "rank", "id")) == sorted(want)
+    assert sent[0].groupBy("level").count().where("count > 6 * 60").isEmpty()
+    of = [c for c in sent[0].columns if c != "id"]
+    assert sent[0].groupBy(*of).count().where("count > 6").isEmpty()  # of the 20 rows of a place only six go out
+    assert not [b for b in inner_broadcasts(got) if "query_id" in b or "_cx" in b]
+
+
 @pytest.mark.parametrize(("metric", "of"), [("euclidean", lambda d: sum(x * x for x in d) ** 0.5), ("manhattan", sum), ("chebyshev", max), (3, lambda d: sum(x**3 for x in d) ** (1 / 3))])
 def test_nearest_vectors_by_brute_force(spark, metric, of):
     rnd = random.Random(9)
