@@ -193,6 +193,21 @@ def test_radius_join_keeps_all_columns_of_a_crowded_cell(spark, monkeypatch):
     assert not inner_broadcasts(got) and most_in_a_task(got) < 0.3
 
 
+def test_a_row_of_the_join_makes_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PART", 8, raising=False)
+    monkeypatch.setattr(spatial, "BLOCK", 200)
+    sent, parts = [], spatial._parts
+    monkeypatch.setattr(spatial, "_parts", lambda *rest: sent.append(parts(*rest)) or sent[-1])
+    data = [(i, 2.0 + i % 7 / 10, 2.5) for i in range(200)]
+    a = spark.createDataFrame(data, "a long, x double, y double")
+    b = a.withColumnsRenamed({"a": "b", "x": "x2", "y": "y2"})
+    got = spatial.radius_join(a, b, 0.45, size=4.0).select("a", "b")
+    assert rows(got) == sorted((i, j) for i, x, y in data for j, u, v in data if (x - u) ** 2 + (y - v) ** 2 <= 0.45**2)
+    of = lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + F.size(p["_rows"]))
+    made = [r.n * r.m for r in sent[0].select(of("_a_places").alias("n"), of("_b_places").alias("m")).collect()]
+    assert sum(made) == 200 * 200 and max(made) <= 24 * 24
+
+
 def test_rectangles_of_a_crowded_cell(spark, monkeypatch):
     small_blocks(monkeypatch)
     rnd = random.Random(3)
